@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandwell.llm.credentials import credentials_found, redacted_texts
 from strandwell.llm.near_duplicates import near_duplicate_pairs
 from strandwell.llm.conversations import conversation_messages, conversations_found
 from strandwell.llm.splitting import oversized_found, split_oversized
@@ -50,6 +51,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p3_found": (lambda s, d: conversations_found(s, f"{d}/conversation_turn.parquet"), P3_SQL),
     "p3_messages": (lambda s, d: conversation_messages(s, f"{d}/conversation_turn.parquet"), None),
     "p4_found": (lambda s, d: near_duplicate_pairs(read(s, d, "rag_node")), P4_SQL),
+    "p7_found": (lambda s, d: credentials_found(read(s, d, "rag_node")), None),
+    "p7_redacted": (lambda s, d: redacted_texts(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),
     "p6_pieces": (lambda s, d: split_oversized(read(s, d, "rag_node"), read(s, d, "size_limit")), None),
 }
