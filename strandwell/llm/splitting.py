@@ -18,10 +18,11 @@ Repeated rows of a record are cut once. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ TERM_BUCKETS = 64
 LEAST_FILL = 0.5  # a piece is at least this part of the limit unless the text ends
 _TERM = re.compile(r"[A-Za-z]{2,}")
 _SOFT = re.compile(r"[\s,;:.(){}\[\]<>|&]+")
-PIECES = "canonical_id string, cut_kind string, chunk_part int, chunk_total int, start_char int, end_char int, text string"
+_CUT = "digest string, max_chars int, overlap_chars int, cut_kind string, chunk_part int, chunk_total int, start_char int, end_char int, text string"
 
 
 def _line_ends(text: str) -> list[int]:
@@ -48,22 +49,24 @@ def _line_ends(text: str) -> list[int]:
 def boundary_depths(text: str, ends: list[int]) -> np.ndarray:
     """How deep the similarity valley at each line end is; blank lines and lower indents deepen it a little."""
     n = len(ends)
-    counts = np.zeros((n + 1, TERM_BUCKETS), np.float32)
     begin = 0
     indent = np.zeros(n, np.float32)
     blank = np.zeros(n + 1, bool)
     known: dict[str, int] = {}
+    cells: list[int] = []
     for k, end in enumerate(ends):
         line = text[begin:end]
         bare = line.strip()
         blank[k] = not bare
-        indent[k] = (len(line) - len(line.lstrip())) if bare else 99
-        for term in _TERM.findall(bare[:4000]) if len(bare) > 4000 else _TERM.findall(bare):
+        indent[k] = line.index(bare[0]) if bare else 99
+        row = (k + 1) * TERM_BUCKETS
+        for term in _TERM.findall(bare):
             at = known.get(term)
             if at is None:
-                at = known[term] = hash_of(term)
-            counts[k + 1, at] += 1
+                at = known[term] = zlib.crc32(term.lower().encode()) % TERM_BUCKETS
+            cells.append(row + at)
         begin = end
+    counts = np.bincount(np.array(cells, np.int64), minlength=(n + 1) * TERM_BUCKETS).reshape(n + 1, TERM_BUCKETS).astype(np.float32)
     total = np.cumsum(counts, axis=0)
     at = np.arange(1, n)
     left = total[at] - total[np.maximum(at - BLOCK_LINES, 0)]
@@ -78,13 +81,6 @@ def boundary_depths(text: str, ends: list[int]) -> np.ndarray:
     return np.concatenate((depth, [9.0]))  # the end of the text is always natural
 
 
-def hash_of(term: str) -> int:
-    h = 0
-    for ch in term.lower():
-        h = (h * 31 + ord(ch)) & 0xFFFFFFFF
-    return (h ^ (h >> 15)) % TERM_BUCKETS
-
-
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of at most limit characters that cover text, neighbours sharing overlap characters."""
     overlap = max(0, min(overlap, (limit - 1) // 2))
@@ -118,18 +114,23 @@ def _is_inside(text: str, limit: int) -> bool:
     return any(len(line[:-1] if line.endswith("\r") else line) > limit for line in text.split("\n"))
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for cid, text, limit, overlap in zip(b["canonical_id"], b["text"], b["max_chars"], b["overlap_chars"]):
-            spans = cut(text, int(limit), int(overlap))
-            kind = "inside" if _is_inside(text, int(limit)) else "line"
-            rows += [(cid, kind, k, len(spans), s, e, text[s:e]) for k, (s, e) in enumerate(spans, 1)]
-            if len(rows) > 2000:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
+def _cutter(with_text: bool):
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["digest", "max_chars", "overlap_chars", "cut_kind", "chunk_part", "chunk_total", "start_char", "end_char", "text"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("digest", "max_chars", "overlap_chars"))))
+            rows: list[tuple] = []
+            for i, (key, scalar) in enumerate(zip(keys, b.column("text"))):
+                text = scalar.as_py()
+                spans = cut(text, key[1], key[2])
+                kind = "inside" if _is_inside(text, key[1]) else "line"
+                rows += [(*key, kind, k, len(spans), s, e, text[s:e] if with_text else None) for k, (s, e) in enumerate(spans, 1)]
+                if len(rows) > 500 or i + 1 == len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                    rows = []
+
+    return cut_all
 
 
 def clean_type(file_type: str | Column) -> Column:
@@ -137,20 +138,26 @@ def clean_type(file_type: str | Column) -> Column:
 
 
 def oversized(nodes: DataFrame, limits: DataFrame) -> DataFrame:
-    """(canonical_id, text, max_chars, overlap_chars) of the records that are too long for their file type."""
+    """(canonical_id, digest, text, max_chars, overlap_chars) of the rows that are too long for their file type."""
     own = limits.select(clean_type("file_type").alias("kind"), "max_chars", "overlap_chars").where(F.col("max_chars") >= 2)
     rest = own.where(F.col("kind") == "*").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap")).limit(1)
     rows = valid_rows(nodes).select("canonical_id", "text", clean_type("file_type").alias("kind"))
     limited = rows.join(own.where(F.col("kind") != "*").dropDuplicates(["kind"]), "kind", "left")
     limited = limited.join(rest, F.lit(True), "left").withColumns({"max_chars": F.coalesce("max_chars", "any_max"), "overlap_chars": F.coalesce("overlap_chars", "any_overlap", F.lit(0))})
-    return limited.where(F.length("text") > F.col("max_chars")).groupBy("canonical_id").agg(F.first("text").alias("text"), F.min("max_chars").alias("max_chars"), F.min("overlap_chars").alias("overlap_chars"))
+    return limited.where(F.length("text") > F.col("max_chars")).select("canonical_id", F.md5("text").alias("digest"), "text", "max_chars", "overlap_chars")
 
 
-def split_oversized(nodes: DataFrame, limits: DataFrame) -> DataFrame:
-    """The pieces of every oversized record, chunk_part from 1 to chunk_total."""
-    return oversized(nodes, limits).mapInPandas(_pieces, PIECES)
+def split_oversized(nodes: DataFrame, limits: DataFrame, with_text: bool = True) -> DataFrame:
+    """The pieces of every oversized record, chunk_part from 1 to chunk_total; each distinct text is cut once."""
+    rows = oversized(nodes, limits)
+    case = ["digest", "max_chars", "overlap_chars"]
+    # A record whose rows disagree in file type takes the smallest limit.
+    records = rows.groupBy("canonical_id", "digest").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("m")).select("canonical_id", "digest", "m.*")
+    texts = rows.groupBy(*case).agg(F.first("text").alias("text"))
+    pieces = texts.mapInArrow(_cutter(with_text), _CUT)
+    return records.join(pieces, case).select("canonical_id", "cut_kind", "chunk_part", "chunk_total", "start_char", "end_char", "text")
 
 
 def oversized_found(nodes: DataFrame, limits: DataFrame) -> DataFrame:
     """(canonical_id, cut_kind) of every record that is cut."""
-    return split_oversized(nodes, limits).where(F.col("chunk_part") == 1).select("canonical_id", "cut_kind")
+    return split_oversized(nodes, limits, with_text=False).where(F.col("chunk_part") == 1).select("canonical_id", "cut_kind").distinct()
