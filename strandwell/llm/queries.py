@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandwell.llm.credentials import credentials_found, redacted_texts
 from strandwell.llm.near_duplicates import near_duplicate_pairs
 from strandwell.llm.conversations import conversation_messages, conversations_found
+from strandwell.llm.source_files import not_hand_written
 from strandwell.llm.splitting import oversized_found, split_oversized
 from strandwell.records import read
 
@@ -53,6 +54,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p4_found": (lambda s, d: near_duplicate_pairs(read(s, d, "rag_node")), P4_SQL),
     "p7_found": (lambda s, d: credentials_found(read(s, d, "rag_node")), None),
     "p7_redacted": (lambda s, d: redacted_texts(read(s, d, "rag_node")), None),
+    "p5_found": (lambda s, d: not_hand_written(read(s, d, "rag_node")).select("canonical_id").distinct(), None),
+    "p5_kinds": (lambda s, d: not_hand_written(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),
     "p6_pieces": (lambda s, d: split_oversized(read(s, d, "rag_node"), read(s, d, "size_limit")), None),
 }
