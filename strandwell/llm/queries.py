@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandwell.llm.credentials import credentials_found, redacted_texts
+from strandwell.llm.encoding_repair import restored_documents
 from strandwell.llm.near_duplicates import near_duplicate_pairs
 from strandwell.llm.code_languages import language_shares, languages_found
 from strandwell.llm.conversations import conversation_messages, conversations_found
@@ -61,6 +62,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p5_kinds": (lambda s, d: not_hand_written(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),
     "p6_pieces": (lambda s, d: split_oversized(read(s, d, "rag_node"), read(s, d, "size_limit")), None),
+    "p10_found": (lambda s, d: restored_documents(read(s, d, "documents")).select("doc_id"), None),
+    "p10_restored": (lambda s, d: restored_documents(read(s, d, "documents")), None),
 }
 
 
