@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandwell.llm.credentials import credentials_found, redacted_texts
 from strandwell.llm.encoding_repair import restored_documents
+from strandwell.llm.mixing import mix, mix_shares
 from strandwell.llm.near_duplicates import near_duplicate_pairs
 from strandwell.llm.code_languages import language_shares, languages_found
 from strandwell.llm.conversations import conversation_messages, conversations_found
+from strandwell.llm.packing import container_fill, containers
 from strandwell.llm.source_files import not_hand_written
 from strandwell.llm.splitting import oversized_found, split_oversized
 from strandwell.records import read
@@ -62,6 +64,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p5_kinds": (lambda s, d: not_hand_written(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),
     "p6_pieces": (lambda s, d: split_oversized(read(s, d, "rag_node"), read(s, d, "size_limit")), None),
+    "p8_containers": (lambda s, d: containers(read(s, d, "documents"), read(s, d, "container_spec")), None),
+    "p8_fill": (lambda s, d: container_fill(read(s, d, "documents"), read(s, d, "container_spec")), None),
+    "p9_mix": (lambda s, d: mix(read(s, d, "documents"), read(s, d, "mix_target")), None),
+    "p9_shares": (lambda s, d: mix_shares(read(s, d, "documents"), read(s, d, "mix_target")), None),
     "p10_found": (lambda s, d: restored_documents(read(s, d, "documents")).select("doc_id"), None),
     "p10_restored": (lambda s, d: restored_documents(read(s, d, "documents")), None),
 }
