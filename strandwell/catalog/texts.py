@@ -80,7 +80,7 @@ QUERIES = {
     "x22_epoch_ms": (lambda s, d: read(s, d, "import_run").select("import_id", "snapshot_id", x.epoch_millis("finished_utc").alias("out")), "SELECT import_id, snapshot_id, epoch_ms(TRY_CAST(nullif(finished_utc, '') AS TIMESTAMPTZ)) AS out FROM import_run"),
     "x23_iso": (lambda s, d: read(s, d, "events").select("event_id", x.iso_seconds("ts").alias("out")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS out FROM events"),
     "x24_json": (lambda s, d: read(s, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("out")), "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS out FROM events"),
-    "x27_split_lines": (_doc(lambda: F.size(x.split_lines("text"))), r"SELECT doc_id, CAST(len([l FOR l IN regexp_split_to_array(coalesce(text, ''), '\r?\n') IF trim(l, ' ') <> '']) AS INTEGER) AS out FROM documents"),
+    "x27_split_lines": (_doc(lambda: F.size(x.split_lines("text"))), r"SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len([l FOR l IN regexp_split_to_array(text, '\r?\n') IF regexp_replace(l, '^ +| +$', '', 'g') <> '']) END AS INTEGER) AS out FROM documents"),
     "x28_to_bool": (lambda s, d: read(s, d, "snapshot_set").select("snapshot_set_id", x.to_bool(F.col("is_active").cast("string")).alias("out")), "SELECT snapshot_set_id, coalesce(is_active, false) AS out FROM snapshot_set"),
     "x29_human_size": (_doc(lambda: x.human_size(F.col("n_chars") * 1000)), "SELECT doc_id, CASE WHEN n_chars * 1000 < 1024 THEN printf('%.1f B', n_chars * 1000.0::DOUBLE) WHEN n_chars * 1000 < 1048576 THEN printf('%.1f KB', n_chars * 1000 / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars * 1000 / 1048576.0::DOUBLE) END AS out FROM documents"),
     "x30_plantuml": (_doc(lambda: mk.apply(mk.plantuml_encoded, "title")), None),

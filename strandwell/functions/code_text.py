@@ -57,10 +57,11 @@ def literals(text: str | Column) -> Column:
     return F.regexp_extract_all(marked(text), F.lit("\u0001([^\u0002]+)\u0002"), F.lit(1))
 
 
-def weighted_hits(c: Column, table: list[tuple[str, float, float]]) -> Column:
+def weighted_hits(counts: str, table: list[tuple[str, float, float]]) -> Column:
+    """The table's weights over an array column of its patterns' counts."""
     out = F.lit(0.0)
-    for pattern, base, each in table:
-        n = _count(c, pattern)
+    for k, (_, base, each) in enumerate(table):
+        n = F.col(counts)[k]
         out = out + F.when(n > 0, base + each * n).otherwise(0.0)
     return out
 
@@ -75,7 +76,7 @@ def classified(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with kind (dotnet, sql, dotnet_with_sql, unknown), confidence and the three scores."""
     d = rows.withColumns({"_code": code_only(text), "_lits": literals(text)})
     code, upper = F.col("_code"), F.col("_upper")
-    d = d.withColumn("_upper", F.upper("_code"))
+    d = d.withColumns({"_upper": F.upper("_code"), "_hits": F.array(*[_count(code, p) for p, _, _ in DOTNET])})
     mig = F.lit(0)
     for p in MIGRATION:
         mig = mig + F.when(code.rlike(p), 1).otherwise(0)
@@ -94,7 +95,7 @@ def classified(rows: DataFrame, text: str = "text") -> DataFrame:
     mig_sql = code.rlike(r"\bmigrationBuilder\s*\.\s*Sql\s*\(")
     d = d.withColumns({"_mig": mig, "_site": code.rlike(CALLSITE) | mig_sql, "_migsql": mig_sql, "_n": _count(code, r"\w+")})
     d = d.withColumns({
-        "dotnet_score": weighted_hits(code, DOTNET) + sum((word_hits(code, w.split(), base, each) for w, base, each in DOTNET_WORDS), F.lit(0.0)) + F.when((semis >= 3) & (braces >= 2), 2.5).otherwise(0.0) + F.when(semis >= 15, 3.0).otherwise(0.0)
+        "dotnet_score": weighted_hits("_hits", DOTNET) + sum((word_hits(code, w.split(), base, each) for w, base, each in DOTNET_WORDS), F.lit(0.0)) + F.when((semis >= 3) & (braces >= 2), 2.5).otherwise(0.0) + F.when(semis >= 15, 3.0).otherwise(0.0)
         + F.when(F.col("_mig") >= 2, 6.0 + F.col("_mig")).otherwise(0.0) + F.when(F.col("_migsql"), 4.0).otherwise(0.0) + F.when(code.rlike(CALLSITE), 3.5).otherwise(0.0),
         "sql_score": words,
         "embedded_sql_score": F.least(F.lit(EMBEDDED_CAP), F.aggregate(F.transform("_lits", one), F.lit(0.0), lambda a, x: a + x)),
@@ -121,7 +122,7 @@ def classified(rows: DataFrame, text: str = "text") -> DataFrame:
     short = F.when((F.col("_n") < 15) | (size < 120), 0.6).when((F.col("_n") < 30) | (size < 200), 0.75).otherwise(1.0)
     base = F.when(F.col("kind") == "dotnet_with_sql", F.greatest(base, sigmoid((emb - 10) / 6))).otherwise(base)
     sure = F.when(config, 0.65).when((F.col("_mig") >= 2) & F.col("_migsql"), 0.92).otherwise(F.greatest(F.lit(0.05), F.least(F.lit(0.99), base * short)))
-    return d.withColumn("confidence", F.round(sure, 6)).drop("_code", "_upper", "_lits", "_mig", "_site", "_migsql", "_n")
+    return d.withColumn("confidence", F.round(sure, 6)).drop("_code", "_upper", "_hits", "_lits", "_mig", "_site", "_migsql", "_n")
 
 
 def language_of(kind: str | Column) -> Column:
