@@ -38,7 +38,7 @@ def lenient_json(text: str | None) -> str | None:
             return json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
         except ValueError:
             continue
-    for t in (tries[1], tries[0]):
+    for t in (tries[1], tries[0], fixed):
         try:
             return json.dumps(ast.literal_eval(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
         except (ValueError, SyntaxError, TypeError, RecursionError, MemoryError):

@@ -60,7 +60,7 @@ def statements(ts: list[str]) -> Iterator[list[str]]:
         belongs = (
             (u == "SELECT" and head in ("INSERT", "WITH", "SELECT", "EXEC") and (head != "SELECT" or cur[-1].upper() in ("UNION", "ALL", "EXCEPT", "INTERSECT")))
             or (u == "SET" and head in ("UPDATE", "MERGE")) or (u in ("INSERT", "UPDATE", "DELETE") and head in ("MERGE", "WITH")) or (u in ("EXEC", "EXECUTE") and head == "INSERT") or (u == "END" and "CASE" in (x.upper() for x in cur))
-            or (u == "WITH" and head not in ("", ";")) or (u == "ELSE" and "CASE" in (x.upper() for x in cur))
+            or (u == "WITH" and not (k + 2 < len(ts) and re.match(r"[\[A-Za-z_]", ts[k + 1]) and ts[k + 2].upper() in ("AS", "("))) or (u == "ELSE" and "CASE" in (x.upper() for x in cur))
         )
         if depth == 0 and (t == ";" or (u in STARTERS and not belongs and cur)):
             if cur:

@@ -84,7 +84,7 @@ def expand(edges: DataFrame, seeds: list[str], max_depth: int = 2, max_nodes: in
         fresh: list[str] = []
         full = False
         last = None
-        for r in step.toLocalIterator():
+        for r in step.collect():  # at most frontier x (max_nodes + known) rows
             if r.src != last and len(known) >= max_nodes:
                 full = True
             if full:

@@ -48,7 +48,7 @@ def without_snapshot(sets: DataFrame, snapshot_ids: Iterable[str]) -> DataFrame:
     gone = F.array(*[F.lit(s) for s in strings(snapshot_ids)]).cast("array<string>")
     left = F.filter("allowed_snapshot_ids", lambda x: ~F.array_contains(gone, x))
     touched = F.coalesce(F.arrays_overlap("allowed_snapshot_ids", gone), F.lit(False))
-    return sets.withColumn("allowed_snapshot_ids", F.when(touched, left).otherwise(F.col("allowed_snapshot_ids"))).where(~(touched & (F.size(left) == 0)))
+    return sets.where(~(touched & (F.size(left) == 0))).withColumn("allowed_snapshot_ids", F.when(touched, left).otherwise(F.col("allowed_snapshot_ids")))
 
 
 def purged(rows: DataFrame, repo: str, snapshot_id: str) -> DataFrame:

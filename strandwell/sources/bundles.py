@@ -15,13 +15,6 @@ from pyspark.sql import functions as F
 
 from strandwell.operators.snapshots import first_wins
 
-NODE_JSON = (
-    "Id string, id string, key string, File string, source_file string, file string, RepoRelativePath string, repo_relative_path string, ProjectName string, project_name string, Class string, class string, Member string, member string, "
-    "Type string, type string, kind string, schema string, name string, Text string, text string, body string, Signature string, signature string, ChunkPart int, ChunkTotal int, chunk_part int, chunk_total int, data_type string, file_type string, domain string, "
-    "source_system_id string, owner_id string, acl_allow array<string>, classification_labels_all array<string>, clearance_level int, doc_level int"
-)
-
-
 def open_bundle(path: str, work: str | None = None) -> tuple[Path, dict]:
     """The folder that holds repo_meta.json (a zip is unpacked over what is there), and the meta data under plain names."""
     root = Path(path)
@@ -46,29 +39,35 @@ def first_existing(root: Path, names: list[str]) -> str | None:
 
 
 def _any(*names: str) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
+    """The first of the fields in map `m` that is set."""
+    return F.coalesce(*[F.nullif(F.trim(F.col("m")[n]), F.lit("")) for n in names])
 
 
 def _nodes(raw: DataFrame, data_type: str, file_type: str) -> DataFrame:
-    none_if_empty = lambda c: F.when(F.size(c) > 0, F.col(c))
-    level = F.coalesce("clearance_level", "doc_level")
-    return raw.select(
+    """Rows of JSON objects (value), each parsed once into a map of its fields, as nodes."""
+    m = raw.where(F.length(F.trim("value")) > 0).select(F.from_json("value", "map<string,string>").alias("m"))
+    listed = lambda n: F.from_json(F.col("m")[n], "array<string>")
+    none_if_empty = lambda c: F.when(F.size(c) > 0, c)
+    whole = lambda *names: _any(*names).try_cast("int")
+    level = whole("clearance_level", "doc_level")
+    return m.select(
         _any("Id", "id", "key").alias("local_id"), _any("File", "source_file", "file").alias("source_file"), _any("RepoRelativePath", "repo_relative_path", "File", "file").alias("repo_relative_path"), _any("ProjectName", "project_name").alias("project_name"),
         _any("Class", "class").alias("class_name"), _any("Member", "member").alias("member_name"), _any("Type", "type").alias("symbol_type"), _any("Signature", "signature").alias("signature"), _any("kind").alias("sql_kind"), _any("schema").alias("sql_schema"), _any("name").alias("sql_name"),
         F.coalesce(_any("data_type"), F.lit(data_type)).alias("data_type"), F.coalesce(_any("file_type"), F.lit(file_type)).alias("file_type"), _any("domain").alias("domain"), _any("source_system_id").alias("source_system_id"), _any("owner_id").alias("owner_id"),
-        F.coalesce("Text", "text", "body").alias("text"), F.coalesce("ChunkPart", "chunk_part").alias("chunk_part"), F.coalesce("ChunkTotal", "chunk_total").alias("chunk_total"),
-        F.when(level >= 0, level).alias("doc_level"), none_if_empty("acl_allow").alias("acl_allow"), none_if_empty("classification_labels_all").alias("classification_labels"),
+        F.coalesce(F.col("m")["Text"], F.col("m")["text"], F.col("m")["body"]).alias("text"), whole("ChunkPart", "chunk_part").alias("chunk_part"), whole("ChunkTotal", "chunk_total").alias("chunk_total"),
+        F.when(level >= 0, level).alias("doc_level"), none_if_empty(listed("acl_allow")).alias("acl_allow"), none_if_empty(F.coalesce(listed("classification_labels_all"), listed("classification_labels"))).alias("classification_labels"),
     ).where("local_id IS NOT NULL")
 
 
 def cs_nodes(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of chunks."""
-    return _nodes(spark.read.schema(NODE_JSON).option("multiLine", True).json(path), "regular_code", "cs")
+    whole = spark.read.option("wholetext", True).text(path)
+    return _nodes(whole.select(F.explode(F.from_json("value", "array<string>")).alias("value")), "regular_code", "cs")
 
 
 def sql_nodes(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a line."""
-    return _nodes(spark.read.schema(NODE_JSON).json(path), "sql_code", "sql")
+    return _nodes(spark.read.text(path), "sql_code", "sql")
 
 
 def legacy_sql_nodes(spark: SparkSession, csv: str, bodies: str, acl_enabled: bool = False) -> DataFrame:
@@ -78,9 +77,7 @@ def legacy_sql_nodes(spark: SparkSession, csv: str, bodies: str, acl_enabled: bo
     rows = spark.read.option("header", True).csv(csv)
     texts = spark.read.option("wholetext", True).text(bodies).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("_name"), F.col("value").alias("body"))
     joined = rows.withColumn("_name", F.regexp_extract(F.translate("body_path", "\\", "/"), r"([^/]+)$", 1)).join(texts, "_name", "left")
-    have = set(joined.columns)
-    fields = [f.split() for f in NODE_JSON.split(", ")]
-    return _nodes(joined.select(*[(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in fields]), "sql_code", "sql")
+    return _nodes(joined.drop("_name").select(F.to_json(F.struct("*")).alias("value")), "sql_code", "sql")
 
 
 def cs_edges(spark: SparkSession, path: str) -> DataFrame:

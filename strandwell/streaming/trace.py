@@ -67,17 +67,17 @@ def _bounded(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     new = sorted((t, i) for b in batches for t, i in zip(b["ms"], b["event_id"]))
     kept = (kept + [int(i) for _, i in new])[-MOST_EVENTS:]
     state.update((kept,))
-    state.setTimeoutDuration(RETENTION_MS)
+    state.setTimeoutTimestamp(max(int(new[-1][0]) if new else 0, state.getCurrentWatermarkMs()) + RETENTION_MS)
     yield pd.DataFrame({"user_id": key[0], "event_id": kept, "position": range(1, len(kept) + 1)})
 
 
-def run_logs(events: DataFrame) -> DataFrame:
-    """Each run's last MOST_EVENTS events as they stand after a batch; a run without events for RETENTION_MS is dropped.
+def run_logs(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Each run's last MOST_EVENTS events as they stand after a batch; a run is dropped RETENTION_MS after its last event.
 
     State holds event ids only and is bounded by MOST_EVENTS a run, whatever the run's length.
     """
-    keyed = timed(events).select("user_id", "event_id", F.unix_millis("ts").alias("ms"))
-    return keyed.groupBy("user_id").applyInPandasWithState(_bounded, _LOG, "ids array<bigint>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = timed(events, lateness).select("user_id", "event_id", F.unix_millis("ts").alias("ms"), "ts")
+    return keyed.groupBy("user_id").applyInPandasWithState(_bounded, _LOG, "ids array<bigint>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def replay_then_tail(stored: DataFrame, live: DataFrame, key: str = "event_id") -> DataFrame:
