@@ -87,25 +87,25 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     ends = _line_ends(text)
     depth = boundary_depths(text, ends)
     at = np.array(ends)
-    spans, start = [], 0
+    spans, start, last = [], 0, 0
     while len(text) - start > limit:
-        low = start + max(overlap + 1, int(limit * LEAST_FILL))
-        i, j = np.searchsorted(at, low), np.searchsorted(at, start + limit, side="right")
-        if i >= j:  # no line end in the window proper: any line end beyond the overlap will do
-            i = np.searchsorted(at, start + overlap + 1)
+        least = max(start + overlap, last) + 1  # every piece reaches beyond the one before
+        i, j = np.searchsorted(at, max(least, start + int(limit * LEAST_FILL))), np.searchsorted(at, start + limit, side="right")
+        if i >= j:  # no line end in the window proper: any one that gets on will do
+            i = np.searchsorted(at, least)
         if i < j:
             end = int(at[i + int(np.argmax(depth[i:j]))])
         else:
             end = start + limit
-            found = [m.end() for m in _SOFT.finditer(text, start + overlap + 1, end) if start + overlap < m.end() <= end]
+            found = [m.end() for m in _SOFT.finditer(text, least - 1, end) if least <= m.end() <= end]
             if found:
                 end = found[-1]
-            if text[end - 1] == "\r" and text[end : end + 1] == "\n" and end - 1 > start + overlap:
+            if text[end - 1] == "\r" and text[end : end + 1] == "\n" and end - 1 >= least:
                 end -= 1
         spans.append((start, end))
-        start = end - overlap
-        if start and text[start - 1] == "\r" and text[start] == "\n" and end - start + 1 < limit // 2 + 2:
-            start -= 1
+        before, start, last = start, end - overlap, end
+        if text[start - 1] == "\r" and text[start : start + 1] == "\n" and start - 1 > before and end - start + 2 < limit:
+            start -= 1  # the overlap takes the whole CRLF
     spans.append((start, len(text)))
     return spans
 
