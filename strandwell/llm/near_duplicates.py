@@ -182,8 +182,28 @@ def similar_texts(prints: DataFrame, members: DataFrame | None = None, similarit
     )
 
 
-def near_duplicate_pairs(nodes: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(canonical_id_a, canonical_id_b), a < b: all record pairs of one snapshot at least that similar."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node of each node's component; edges (a, b) of comparable ids, nodes without any are not listed.
+
+    Alternating large and small stars: each round hangs nodes on the least neighbour they know, so the number of rounds grows
+    with the logarithm of a component's size. Only minima are aggregated; no neighbourhood is ever gathered.
+    """
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    while True:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        root = down.groupBy("a").agg(F.min("b").alias("m"))
+        small = down.join(root, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(root.select("a", F.col("m").alias("b"))).distinct()
+        new = materialize(small, "stars")
+        if not new.exceptAll(e).limit(1).count() and not e.exceptAll(new).limit(1).count():
+            return new.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        e = new
+
+
+def _texts_and_records(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """fingerprints, records (canonical_id, snapshot, text_no), and the texts of each snapshot (text_no, bucket)."""
     rows = valid_rows(nodes)
     prints = fingerprints(rows)
     records = materialize(
@@ -194,7 +214,29 @@ def near_duplicate_pairs(nodes: DataFrame, similarity: tuple[int, int] = SIMILAR
         .select("canonical_id", "snapshot", "text_no"),
         "records",
     )
-    members = records.select("text_no", F.col("snapshot").alias("bucket")).distinct()
+    return prints, records, records.select("text_no", F.col("snapshot").alias("bucket")).distinct()
+
+
+def near_duplicate_groups(nodes: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(canonical_id, snapshot_id, class_id, group_id, n_links) of every record with shingles: its class of equal texts, its
+    group of classes linked within the snapshot, and the number of other classes its own is linked to. One row a record."""
+    prints, records, members = _texts_and_records(nodes)
+    pairs = materialize(similar_texts(prints, members, similarity).select("a", "b"), "similar")
+    m = members.select("bucket", F.col("text_no").alias("a")), members.select("bucket", F.col("text_no").alias("b"))
+    links = pairs.join(m[0], "a").join(m[1], ["b", "bucket"])
+    vertex = lambda c: F.concat_ws("/", "bucket", F.lpad(F.col(c).cast("string"), 20, "0"))
+    roots = components(links.select(vertex("a").alias("a"), vertex("b").alias("b")))
+    both = links.select("bucket", "a").unionByName(links.select("bucket", F.col("b").alias("a")))
+    degree = both.groupBy("bucket", "a").agg(F.count("*").alias("n_links")).select(vertex("a").alias("node"), "n_links")
+    out = records.withColumn("node", F.concat_ws("/", "snapshot", F.lpad(F.col("text_no").cast("string"), 20, "0")))
+    return out.join(roots, "node", "left").join(degree, "node", "left").select(
+        "canonical_id", F.col("snapshot").alias("snapshot_id"), F.col("node").alias("class_id"), F.coalesce("root", "node").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+
+
+def near_duplicate_pairs(nodes: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(canonical_id_a, canonical_id_b), a < b: all record pairs of one snapshot at least that similar."""
+    prints, records, members = _texts_and_records(nodes)
     pairs = similar_texts(prints, members, similarity)
     a = records.select(F.col("canonical_id").alias("ida"), "snapshot", F.col("text_no").alias("a"))
     b = records.select(F.col("canonical_id").alias("idb"), "snapshot", F.col("text_no").alias("b"))

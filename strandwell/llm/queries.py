@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandwell.llm.credentials import credentials_found, redacted_texts
 from strandwell.llm.encoding_repair import restored_documents
 from strandwell.llm.mixing import mix, mix_shares
-from strandwell.llm.near_duplicates import near_duplicate_pairs
+from strandwell.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from strandwell.llm.code_languages import language_shares, languages_found
 from strandwell.llm.conversations import conversation_messages, conversations_found
 from strandwell.llm.packing import container_fill, containers
@@ -57,6 +57,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p2_shares": (lambda s, d: language_shares(read(s, d, "rag_node"), read(s, d, "documents")), None),
     "p3_found": (lambda s, d: conversations_found(s, f"{d}/conversation_turn.parquet"), P3_SQL),
     "p3_messages": (lambda s, d: conversation_messages(s, f"{d}/conversation_turn.parquet"), None),
+    "p4_groups": (lambda s, d: near_duplicate_groups(read(s, d, "rag_node")), None),
     "p4_found": (lambda s, d: near_duplicate_pairs(read(s, d, "rag_node")), P4_SQL),
     "p7_found": (lambda s, d: credentials_found(read(s, d, "rag_node")), None),
     "p7_redacted": (lambda s, d: redacted_texts(read(s, d, "rag_node")), None),

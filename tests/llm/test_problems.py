@@ -45,6 +45,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and len(got) > 5
 
 
+def test_groups_are_components(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(n, n + 1) for n in range(100, 130)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
+    text = " ".join(f"w{n}" for n in range(40))
+    rows = [("r::s::cs::a", text), ("r::s::cs::b", text), ("r::s::cs::c", text + " tail"), ("r::t::cs::d", text + " tail"), ("r::s::cs::e", "other words here now"), ("r::s::cs::f", None)]
+    out = {r.canonical_id[-1]: r for r in near_duplicates.near_duplicate_groups(nodes(spark, rows)).collect()}
+    assert sorted(out) == ["a", "b", "c", "d", "e"]
+    assert out["a"].class_id == out["b"].class_id != out["c"].class_id and out["a"].group_id == out["c"].group_id != out["d"].group_id
+    assert (out["a"].n_links, out["c"].n_links, out["d"].n_links) == (1, 1, 0)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates.near_duplicate_pairs(nodes(spark, [])).count() == 0
     assert near_duplicates.near_duplicate_pairs(nodes(spark, [("r::s::cs::a", None), ("r::s::cs::b", "")])).count() == 0
