@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandwell.operators import filters as f
 from strandwell.operators import ranking as r
 from strandwell.records import read
+from strandwell.streaming.trace import visibility
 
 ACL, LABELS, LEVEL = ["finance", "security"], ["public", "internal", "secret"], 10
 ACL_SQL, LABELS_SQL = "['finance','security']", "['public','internal','secret']"
@@ -115,6 +116,11 @@ QUERIES = {
     "f16_visible": (_where(lambda: f.acl_any(ACL) & f.labels_subset(LABELS) & f.clearance(LEVEL)), _sql(VIS_SQL)),
     "f17_not_deleted": (lambda s, d: read(s, d, "conversation_turn").where(f.not_deleted("finalized_at_utc")).select("turn_id", "session_id"), "SELECT turn_id, session_id FROM conversation_turn WHERE finalized_at_utc IS NULL"),
     "f18_title": (lambda s, d: read(s, d, "documents").where(f.title_contains("Claim")).select("doc_id", "title"), "SELECT doc_id, title FROM documents WHERE contains(lower(title), 'claim')"),
+    "f19_stage_visible": (lambda s, d: read(s, d, "events").where(visibility("allowed", "explicit", F.col("event_type") == "error")).select("event_id"), "SELECT event_id FROM events WHERE event_type = 'error'"),
+    "f20_gates": (
+        lambda s, d: read(s, d, N).select("canonical_id", "import_id", F.array_join(f.gate_reasons("doc_level", 10, "acl_allow", "classification_labels", ["secret"]), ",").alias("reasons")),
+        "SELECT canonical_id, import_id, concat_ws(',', CASE WHEN coalesce(doc_level, 0) < 10 THEN 'low_score' END, CASE WHEN len(acl_allow) > 0 THEN 'problems' END, CASE WHEN list_contains(classification_labels, 'secret') THEN 'forbidden_category' END) AS reasons FROM rag_node",
+    ),
     "f21_server_admission": (_servers, SERVERS_SQL),
     "d26_server_selection": (lambda s, d: _servers(s, d).groupBy("server_id").agg(F.count("*").alias("n")), f"SELECT server_id, count(*) AS n FROM ({SERVERS_SQL}) GROUP BY 1"),
     "m12_declared": (_where(lambda: f.declared_filter({"file_type": ["sql"], "permission_tags_all": ["finance"]})), _sql("file_type = 'sql' AND list_has_all(coalesce(acl_allow, []), ['finance'])")),

@@ -185,6 +185,14 @@ def declared_filter(lists: Mapping[str, Iterable[str]]) -> Column:
     return out
 
 
+def gate_reasons(score: str, least: float, problems: str, categories: str, forbidden: Iterable[str]) -> Column:
+    """Why a row fails the quality gates: low_score, problems, forbidden_category; an empty array passes. A null score is low."""
+    low = F.coalesce(F.col(score) < least, F.lit(True))
+    trouble = F.coalesce(F.size(F.col(problems)) > 0, F.lit(False))
+    banned = F.coalesce(F.arrays_overlap(categories, literal_array(strings(forbidden))), F.lit(False))
+    return F.array_compact(F.array(F.when(low, "low_score"), F.when(trouble, "problems"), F.when(banned, "forbidden_category")))
+
+
 def admissible_servers(requests: DataFrame, servers: DataFrame) -> DataFrame:
     """(request_id, server_id) of the first server by position that may see a request: trusted, or level and sets suffice.
 
