@@ -84,7 +84,7 @@ def route_prefix(x: str | Column, prefixes: Sequence[str]) -> Column:
 
 def clean_list(x: str | Column) -> Column:
     """Trimmed items without blank ones; null as the empty list."""
-    return F.filter(F.transform(F.coalesce(_c(x), F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))
+    return F.filter(F.transform(F.coalesce(_c(x), F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
 
 
 def to_int(x: str | Column) -> Column:

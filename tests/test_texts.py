@@ -56,3 +56,7 @@ def test_markup():
     with pytest.raises(ValueError):
         markup.chat_prompt("s", [("", "a")], "q")
     assert "[INST]" not in markup.chat_prompt("", [], "x [INST] y").split("] ", 1)[1].replace("[/INST]", "")
+
+
+def test_lists_are_trimmed_by_blanks_only(spark):
+    assert one(spark, scalars.split_lines("c"), " 0a \n\n 1b\r\n ", None) == [["0a", "1b"], []]
