@@ -33,6 +33,16 @@ def _queries(s, d):
     return read(s, d, "documents").where("doc_id % 20 = 0 AND text IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.array_join(long, " ").alias("query"))
 
 
+def _whole(s, d):
+    """Documents as one text of title and text."""
+    return read(s, d, "documents").select("doc_id", F.concat_ws(" ", "title", "text").alias("text"), "source")
+
+
+def _whole_queries(s, d):
+    """Every document whose id is divisible by 20 asks with all tokens of its title and text."""
+    return _whole(s, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def _vectors(s, d):
     return read(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
 
@@ -155,5 +165,13 @@ QUERIES = {
         "q AS (SELECT query_id, term, count(*) * (ln((1 + any_value(n.n)) / (1 + any_value(df.df))) + 1) AS qw FROM (SELECT doc_id AS query_id, unnest([t FOR t IN regexp_extract_all(lower(text), '[a-z0-9_]+') IF length(t) >= 12][1:4]) AS term FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL) JOIN df USING (term) CROSS JOIN n GROUP BY 1, 2), "
         "qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qnorm FROM q GROUP BY 1), x AS (SELECT query_id, doc_id, round(sum(qw * w) / (any_value(norm) * any_value(qnorm)), 6) AS score FROM q JOIN wt USING (term) JOIN nm USING (doc_id) JOIN qn USING (query_id) GROUP BY 1, 2) " + _top("x", 10),
     ),
+    # The same searches asked with whole documents. No SQL: tests compare them with brute force.
+    "r01_bm25_or_whole": (lambda s, d: _ranked(r.bm25(_whole(s, d), _whole_queries(s, d), 10)), None),
+    "r01_bm25_and_whole": (lambda s, d: _ranked(r.bm25(_whole(s, d), _whole_queries(s, d), 10, "and")), None),
+    "r01_bm25_filtered_whole": (lambda s, d: _ranked(r.bm25(_whole(s, d), _whole_queries(s, d), 10, keep=F.col("source") == "wiki")), None),
+    "r03_weighted_whole": (lambda s, d: _ranked(r.weighted(r.vector_search(_vectors(s, d), _query_vectors(s, d), 20), r.bm25(_whole(s, d), _whole_queries(s, d), 20), 10)), None),
+    "r04_rrf_whole": (lambda s, d: _ranked(r.search("hybrid", _whole(s, d), _whole_queries(s, d), _vectors(s, d), _query_vectors(s, d), 10)), None),
+    "r05_dispatch_bm25_whole": (lambda s, d: _ranked(r.search("bm25", _whole(s, d), _whole_queries(s, d), None, None, 5)), None),
+    "r13_tfidf_whole": (lambda s, d: _ranked(r.tfidf_cosine(_whole(s, d), _whole_queries(s, d), 10)), None),
     "ag08_bm25_stats": (lambda s, d: r.bm25_statistics(_docs(s, d)), "SELECT count(*) AS n_docs, avg(dl) AS avg_dl FROM (SELECT len(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS dl FROM documents WHERE text IS NOT NULL) WHERE dl > 0"),
 }
