@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwell.llm.source_files import clean_path
 from strandwell.llm.splitting import clean_type
-from strandwell.records import trimmed, valid_rows
+from strandwell.records import id_parts, snapshot_of, trimmed, valid_rows
 
 LANGUAGES = ("en", "pl", "de", "fr", "es", "uk", "cs", "pt")
 STATES = ("code", *LANGUAGES)
@@ -186,8 +187,8 @@ def decode(table: np.ndarray, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def sentences(text: str, states: np.ndarray) -> Iterator[tuple[str, int]]:
-    """(language, characters) of every sentence with WORDS words in one language state."""
+def sentences(text: str, states: np.ndarray) -> Iterator[tuple[str, str]]:
+    """(language, sentence) of every sentence with WORDS words in one language state."""
     for m in _SENTENCE.finditer(text):
         words = list(_WORD.finditer(m.group()))
         if len(words) < WORDS:
@@ -197,10 +198,10 @@ def sentences(text: str, states: np.ndarray) -> Iterator[tuple[str, int]]:
             votes[np.bincount(states[m.start() + w.start() : m.start() + w.end()], minlength=len(STATES)).argmax()] += 1
         best = int(votes.argmax())
         if best and votes[best] >= WORDS and votes[best] * 2 > len(words):
-            yield STATES[best], len(m.group().strip())
+            yield STATES[best], m.group().strip()
 
 
-_OUT = "digest string, kind string, lang string, chars int, sentences int"
+_OUT = "digest string, kind string, lang string, sentence string"
 
 
 def _labelled(shared):
@@ -214,30 +215,46 @@ def _labelled(shared):
                     found += [(k, s) for s in spans(texts[k].as_py(), kinds[k] or "") if len(_WORD.findall(s)) >= WORDS]
                 distinct = list(dict.fromkeys(s for _, s in found))
                 said = {s: list(sentences(s, st)) for s, st in zip(distinct, decode(table, distinct))}
-                sums: dict[tuple[int, str], list[int]] = {}
-                for k, s in found:
-                    for lang, n in said[s]:
-                        v = sums.setdefault((k, lang), [0, 0])
-                        v[0] += n
-                        v[1] += 1
-                rows = [(digests[k], kinds[k], lang, v[0], v[1]) for (k, lang), v in sums.items()]
-                cols = list(zip(*rows)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()))], names=[c.split()[0] for c in _OUT.split(", ")])
+                rows = [(digests[k], kinds[k], lang, sentence) for k, s in found for lang, sentence in said[s]]
+                cols = list(zip(*rows)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], names=[c.split()[0] for c in _OUT.split(", ")])
 
     return label
 
 
-def language_shares(nodes: DataFrame, documents: DataFrame) -> DataFrame:
-    """(canonical_id, lang, sentences, chars, share) of each language in each record, English too; share of all its characters."""
-    rows = valid_rows(nodes).where(F.length("text") > 0).select("canonical_id", "text", clean_type("file_type").alias("kind"), F.md5("text").alias("digest"))
+def labelled_sentences(nodes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, said): the texts of each record (canonical_id, snapshot, path, digest, kind, size), and the sentences of each text (digest, kind, lang, sentence)."""
+    repo = F.lower(F.element_at(id_parts(), 1))
+    rows = valid_rows(nodes).where(F.length("text") > 0).select("canonical_id", snapshot_of().alias("snapshot"), F.nullif(clean_path(repo), F.lit("")).alias("path"), "text", clean_type("file_type").alias("kind"), F.md5("text").alias("digest"))
     table = nodes.sparkSession.sparkContext.broadcast(train(documents, nodes))
     texts = rows.groupBy("digest", "kind").agg(F.first("text").alias("text"))
     said = texts.select("digest", "kind", "text").mapInArrow(_labelled(table), _OUT)
-    records = rows.groupBy("canonical_id", "digest").agg(F.max("kind").alias("kind"), F.max(F.length("text")).alias("size"))
+    records = rows.groupBy("canonical_id", "snapshot", "digest").agg(F.max("path").alias("path"), F.max("kind").alias("kind"), F.max(F.length("text")).alias("size"))
+    return records.withColumn("path", F.coalesce("path", "canonical_id")), said
+
+
+def language_sentences(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(canonical_id, lang, sentence) of every sentence in each record's comments and literals, English too."""
+    records, said = labelled_sentences(nodes, documents)
     on = (records.digest == said.digest) & records.kind.eqNullSafe(said.kind)
-    return records.join(said, on).select("canonical_id", "lang", "sentences", "chars", F.round(F.least(F.col("chars") / F.col("size"), F.lit(1.0)), 6).alias("share"))
+    return records.join(said, on).select("canonical_id", "lang", "sentence")
+
+
+def language_shares(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(snapshot, path, lang, sentences, chars, share) of each language in each file, English too; share of the characters of all
+    its chunks. A record without a path is a file of its own, under its id."""
+    records, said = labelled_sentences(nodes, documents)
+    # Sums by text first: a file's sentences are not sent as texts.
+    sums = said.groupBy("digest", "kind", "lang").agg(F.count("*").alias("sentences"), F.sum(F.length("sentence")).alias("chars"))
+    sizes = records.groupBy("snapshot", "path").agg(F.sum("size").alias("size"))
+    on = (records.digest == sums.digest) & records.kind.eqNullSafe(sums.kind)
+    files = records.join(sums, on).groupBy("snapshot", "path", "lang").agg(F.sum("sentences").alias("sentences"), F.sum("chars").alias("chars"))
+    return files.join(sizes, ["snapshot", "path"]).select("snapshot", "path", "lang", "sentences", "chars", F.round(F.least(F.col("chars") / F.col("size"), F.lit(1.0)), 6).alias("share"))
 
 
 def languages_found(nodes: DataFrame, documents: DataFrame) -> DataFrame:
     """(canonical_id, lang) of each language but English with a sentence in a comment or literal."""
-    return language_shares(nodes, documents).where(F.col("lang") != "en").select("canonical_id", "lang")
+    records, said = labelled_sentences(nodes, documents)
+    langs = said.where(F.col("lang") != "en").select("digest", "kind", "lang").distinct()
+    on = (records.digest == langs.digest) & records.kind.eqNullSafe(langs.kind)
+    return records.join(langs, on).select("canonical_id", "lang")

@@ -10,7 +10,7 @@ from strandwell.llm.credentials import credentials_found, redacted_texts
 from strandwell.llm.encoding_repair import restored_documents
 from strandwell.llm.mixing import mix, mix_shares
 from strandwell.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
-from strandwell.llm.code_languages import language_shares, languages_found
+from strandwell.llm.code_languages import language_sentences, language_shares, languages_found
 from strandwell.llm.conversations import conversation_messages, conversations_found
 from strandwell.llm.packing import container_fill, containers
 from strandwell.llm.source_files import not_hand_written
@@ -54,6 +54,7 @@ FROM l WHERE length(text) > m
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "p2_found": (lambda s, d: languages_found(read(s, d, "rag_node"), read(s, d, "documents")), None),
+    "p2_sentences": (lambda s, d: language_sentences(read(s, d, "rag_node"), read(s, d, "documents")), None),
     "p2_shares": (lambda s, d: language_shares(read(s, d, "rag_node"), read(s, d, "documents")), None),
     "p3_found": (lambda s, d: conversations_found(s, f"{d}/conversation_turn.parquet"), P3_SQL),
     "p3_messages": (lambda s, d: conversation_messages(s, f"{d}/conversation_turn.parquet"), None),

@@ -210,6 +210,18 @@ def test_languages_in_code(spark):
     assert code_languages.languages_found(nodes(spark, []), documents(spark)).count() == 0
 
 
+def test_sentences_and_shares_of_files(spark):
+    pl, de = "Nocne zadanie zapisuje listę otwartych zamówień", "Jeder Arbeitsprozess prueft die vollstaendige Gebuehr"
+    chunks = [f"// {pl}.\nint x = 1;", f"// {pl}.\nint yy = 2;\n// {de}.", "int z = 3;" * 20]
+    rows = [(f"r::s::cs::a{n}", t, "cs", path) for n, (t, path) in enumerate(zip(chunks, ("src/a.cs", "SRC\\a.cs", "src/a.cs")))] + [("r::t::cs::b", chunks[0], "cs", "src/a.cs"), ("r::t::cs::c", chunks[0], "cs", None)]
+    code = [(f"r::s::cs::code{n}", f"public int Foo{n}(int a) {{ return bar.Baz(a, {n}); }}\n" * 9, "cs") for n in range(9)]
+    said = sorted(tuple(r) for r in code_languages.language_sentences(nodes(spark, rows + code), documents(spark)).collect())
+    assert said == [("r::s::cs::a0", "pl", pl), ("r::s::cs::a1", "de", de), ("r::s::cs::a1", "pl", pl), ("r::t::cs::b", "pl", pl), ("r::t::cs::c", "pl", pl)]
+    shares = {(r.snapshot, r.path, r.lang): (r.sentences, r.chars, r.share) for r in code_languages.language_shares(nodes(spark, rows + code), documents(spark)).collect()}
+    size, alone = sum(map(len, chunks)), (1, len(pl), round(len(pl) / len(chunks[0]), 6))
+    assert shares == {("s", "src/a.cs", "pl"): (2, 2 * len(pl), round(2 * len(pl) / size, 6)), ("s", "src/a.cs", "de"): (1, len(de), round(len(de) / size, 6)), ("t", "src/a.cs", "pl"): alone, ("t", "r::t::cs::c", "pl"): alone}
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     table = rng.normal(size=(code_languages.BUCKETS, 3)).astype(np.float32) * 6
