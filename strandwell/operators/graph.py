@@ -78,13 +78,14 @@ def expand(edges: DataFrame, seeds: list[str], max_depth: int = 2, max_nodes: in
         if not frontier or len(known) >= max_nodes:
             break
         table = spark.createDataFrame([(s, known[s][3]) for s in frontier], "src string, at int")
-        # Hubs: of a parent's edges only those that could still matter are fetched, in order.
-        order = Window.partitionBy("src").orderBy("dst", "edge_type")
-        step = allowed.join(F.broadcast(table), "src").withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_nodes + len(known)).orderBy("at", "dst", "edge_type")
+        # Hubs: of a parent's targets, only the first max_nodes + known are fetched, each with all its edges, so that targets
+        # already known can't crowd out new ones.
+        order = Window.partitionBy("src").orderBy("dst")
+        step = allowed.join(F.broadcast(table), "src").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= max_nodes + len(known)).orderBy("at", "dst", "edge_type")
         fresh: list[str] = []
         full = False
         last = None
-        for r in step.collect():  # at most frontier x (max_nodes + known) rows
+        for r in step.collect():  # at most frontier x (max_nodes + known) targets, each with its edge types
             if r.src != last and len(known) >= max_nodes:
                 full = True
             if full:

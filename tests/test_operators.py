@@ -74,6 +74,13 @@ def test_expansion_keeps_order_caps_and_seeds(spark):
     assert graph.travel(edges, spark.createDataFrame([("a",)], "seed string"), hidden).count() == 1
 
 
+def test_expansion_of_a_hub_counts_targets_not_edges(spark):
+    rows = [("hub", f"t{n:03}", kind) for n in range(300) for kind in ("a", "b", "c")]
+    n, e = graph.expand(spark.createDataFrame(rows, "src string, dst string, edge_type string"), ["hub"], 1, 200)
+    assert [r.node for r in n.orderBy("place").collect()] == ["hub"] + [f"t{n:03}" for n in range(199)]
+    assert e.where("dst < 't199'").count() == 199 * 3
+
+
 def test_budget_skips_what_is_too_large(spark):
     items = spark.createDataFrame([("r", n, s) for n, s in enumerate([3, 5, 2, 4, 1])], "request string, place int, size int")
     assert [r.size for r in context.greedy_fit(items, "request", "place", "size", 8).orderBy("place").collect()] == [3, 5]
