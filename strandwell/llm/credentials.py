@@ -33,29 +33,28 @@ from strandwell.records import id_parts, valid_rows
 from strandwell.session import materialize
 
 MOST_OWNERS = 6, 0.5  # a formless value of more repositories than this number and this share of all is a placeholder
-WINDOW = 600  # characters around a trigger in lines that are longer than this
+CONTEXT = 1200  # characters on each side of a joined literal in which a telling word counts
 AUTOMATON_VALUES = 100_000  # values in one automaton
-LEAST_RESCAN = 8  # shorter values are not searched for outside telling places
 
 _NAME = r"(?:passw(?:or)?d|passwd|passphrase|pwd|secret|api[_-]?key|apikey|access[_-]?key|account[_-]?key|shared[_-]?(?:access[_-]?)?key|signing(?:[_-]?key)?|private[_-]?key|encryption[_-]?key|validationkey|decryptionkey|token|bearer|smtppass|(?<=[_-])pass\b|(?:db|user|smtp|ftp)pass|kennwort|has[łl]o|heslo|senha|contrase[ñn]a|mot de passe|пароль|credentials?|\bauth\b)"
-_QUOTED = r"(?:\"((?:\\.|[^\"\\\r\n]){4,400})\"|'((?:\\.|''|[^'\\\r\n]){4,400})'|`([^`\r\n]{4,400})`)"
-_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:[^-]|-(?!----)){40,8000})-----END \1-----")
+_QUOTED = r"(?:\"((?:\\.|[^\"\\\r\n]){4,}+)\"|'((?:\\.|''|[^'\\\r\n]){4,})'|`([^`\r\n]{4,}+)`)"
+_BLOCK = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:[^-]|-(?!----)){40,}+)-----END \1-----")
 _FORM = re.compile(
     r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{50,}|glpat-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,})"
 )
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'\"<>]{0,100}:([^\s@/'\"<>]{4,200})@[A-Za-z0-9]")
-_CONN = re.compile(r"(?i)\b(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;'\"\s<>]{4,200})(?=[;'\"])")
+_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'\"<>]*+:([^\s@/'\"<>]{4,}+)@[A-Za-z0-9]")
+_CONN = re.compile(r"(?i)\b(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;'\"\s<>]{4,}+)(?=[;'\"])")
 _KEYED = re.compile(r"(?i)(" + _NAME + r"[\w.-]*)['\"\])]*\s*(?:=>|:=|==?|:|,|\bvalue\s*=|\bIS\b)\s*(?:value\s*=\s*)?(?:N|@|\$@?|[fbru])?" + _QUOTED)
-_PLAIN = re.compile(r"(?im)^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|ENV[ \t]+)?([\w.-]*" + _NAME + r"[\w.-]*)[ \t]*[:=][ \t]*([^\s'\"`{}\[\](),;]{6,300})[ \t]*(?:\#.*)?\r?$")
-_XML = re.compile(r"(?i)\b(?:key|name)\s*=\s*\"([\w.:-]*" + _NAME + r"[\w.:-]*)\"\s+value\s*=\s*\"([^\"\r\n]{4,400})\"")
+_PLAIN = re.compile(r"(?im)^[ \t]*(?:-[ \t]+|export[ \t]+|set[ \t]+|ENV[ \t]+)?([\w.-]*" + _NAME + r"[\w.-]*)[ \t]*[:=][ \t]*([^\s'\"`{}\[\](),;]{6,})[ \t]*(?:\#.*)?\r?$")
+_XML = re.compile(r"(?i)\b(?:key|name)\s*=\s*\"([\w.:-]*" + _NAME + r"[\w.:-]*)\"\s+value\s*=\s*\"([^\"\r\n]{4,}+)\"")
 _CALL = re.compile(r"(?i)\b(?:NetworkCredential|AUTH\s*=|BasicAuth|HTTPBasicAuth|Credential)\s*\(\s*['\"][^'\"\r\n]{1,80}['\"]\s*,\s*" + _QUOTED)
-_HEADER = re.compile(r"(?i)\b(?:authorization|x-api-key|api-key)['\"]?\s*[:,=]\s*['\"]?(?:token|bearer|basic|apikey)?\s*([A-Za-z0-9+/=_.~-]{12,400})")
+_HEADER = re.compile(r"(?i)\b(?:authorization|x-api-key|api-key)['\"]?\s*[:,=]\s*['\"]?(?:token|bearer|basic|apikey)?\s*([A-Za-z0-9+/=_.~-]{12,})")
 _BASIC = re.compile(r"\b[Bb]asic\s+([A-Za-z0-9+/]{10,}={0,2})")
-_SHELL = re.compile(r"(?:\bsshpass\s+-p\s*|\bcurl\b[^\r\n]{0,200}?\s-u\s*[\w.-]{1,60}:|\bmysql\b[^\r\n]{0,200}?\s-p|--password[= ])(?:'([^'\r\n]{4,200})'|\"([^\"\r\n]{4,200})\"|([^\s'\"]{4,200}))")
-_NOTE = re.compile(r"(?i)(?://|\#|--|/\*|\*|<!--)[^\r\n]{0,80}?\b(?:pwd|pass|password|passwd|kennwort|has[łl]o|heslo|senha|contrase[ñn]a|mot de passe|пароль|login|credentials?)\b[^\r\n:=]{0,40}[:=]\s*(?:[\w.@-]+\s*/\s*)?([^\s,]{6,200})")
-_CHARS = re.compile(r"(?i)(\w*" + _NAME + r"\w*)\s*=[^\r\n;]{0,60}\{\s*((?:'(?:\\.|[^'\\])'\s*,?\s*){6,})\}")
-_BYTES = re.compile(r"(?i)(\w*(?:key|secret|password|token)\w*)\s*=\s*(?:new\s+byte\[\d*\]\s*)?\{\s*((?:0x[0-9a-f]{2}\s*,?\s*){12,})\}")
-_JOINED = re.compile(r"\"([^\"\\\r\n]{2,200})\"(?:\s*[+&]\s*\"([^\"\\\r\n]{2,200})\")+")
+_SHELL = re.compile(r"(?:\bsshpass\s+-p\s*|\bcurl\b[^\r\n]{0,200}?\s-u\s*[\w.-]{1,60}:|\bmysql\b[^\r\n]{0,200}?\s-p|--password[= ])(?:'([^'\r\n]{4,}+)'|\"([^\"\r\n]{4,}+)\"|([^\s'\"]{4,}+))")
+_NOTE = re.compile(r"(?i)(?://|\#|--|/\*|\*|<!--)[^\r\n]{0,80}?\b(?:pwd|pass|password|passwd|kennwort|has[łl]o|heslo|senha|contrase[ñn]a|mot de passe|пароль|login|credentials?)\b[^\r\n:=]{0,40}[:=]\s*(?:[\w.@-]+\s*/\s*)?([^\s,]{6,}+)")
+_CHARS = re.compile(r"(?i)(?<!\w)(\w*" + _NAME + r"\w*)\s*=[^\r\n;]{0,60}\{\s*((?:'(?:\\.|[^'\\])'\s*,?\s*){6,})\}")
+_BYTES = re.compile(r"(?i)(?<!\w)(\w*(?:key|secret|password|token)\w*)\s*=\s*(?:new\s+byte\[\d*\]\s*)?\{\s*((?:0x[0-9a-f]{2}\s*,?\s*){12,})\}")
+_JOINED = re.compile(r"\"([^\"\\\r\n]{2,}+)\"(?:\s*[+&]\s*\"([^\"\\\r\n]{2,}+)\")+")
 _TELLING = re.compile(r"(?i)" + _NAME + r"|access key")
 _REFERENCE = re.compile(r"\$\{|\$\(|\{\{|\}\}|^\{|<[^>]*>|^%[\w.]+%$|\bvault\b|^kv/|secrets?[/.]|env[.(\[]|\bgetenv|config[.\[]|^\$|^@|^arn:|process\.|os\.environ|\{\d+\}", re.I)
 _DUMMY = re.compile(
@@ -119,7 +118,7 @@ _VALUE = re.compile(r"[^\s'\"=:,;(){}\[\]]{6}|'.'\s*,|0x")
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
     """(from, to, value, form): places that may hold a credential; value is empty where it is not one piece of text.
 
-    Only the lines around trigger words are looked at closely, and of very long lines only windows around them.
+    Only lines with trigger words are looked at closely, each once and whole, so a value of any length is met in full.
     """
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer
@@ -135,11 +134,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
             continue
         begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
         end = len(text) if end < 0 else end
-        if end - begin > 2 * WINDOW:
-            begin, end = max(begin, at - WINDOW), min(end, at + WINDOW)
-            done = at + WINDOW // 4
-        else:
-            done = end
+        done = end
         line = text[begin:end]
         if _VALUE.search(line):
             found.update((begin + s, begin + e, v, form) for s, e, v, form in _in_line(line))
@@ -189,7 +184,7 @@ def _in_line(line: str) -> Iterator[tuple[int, int, str, str]]:
     if "+" in line or "&" in line:
         for m in _JOINED.finditer(line):
             word = "".join(re.findall(r"\"([^\"\\\r\n]*)\"", m.group()))
-            if _FORM.fullmatch(word) or (is_random(word) and _TELLING.search(line[: m.start()] + line[m.end() :])):
+            if _FORM.fullmatch(word) or (is_random(word) and _TELLING.search(line[max(0, m.start() - CONTEXT) : m.start()] + line[m.end() : m.end() + CONTEXT])):
                 yield m.start(), m.end(), "", "pieces"
 
 
@@ -251,8 +246,8 @@ def _scanner(values: list[str]):
 
 
 def rescanned(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """All places of confirmed values of LEAST_RESCAN characters or more, by automata of at most AUTOMATON_VALUES values."""
-    values = materialize(confirmed.where(F.length("value") >= LEAST_RESCAN).select("value").distinct(), "secrets")
+    """All places of confirmed values, by automata of at most AUTOMATON_VALUES values."""
+    values = materialize(confirmed.where("value <> ''").select("value").distinct(), "secrets")
     shards = max(1, -(-values.count() // AUTOMATON_VALUES)) * 2 if values.count() > AUTOMATON_VALUES else 1
     places = None
     for k in range(shards):
