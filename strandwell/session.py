@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def local_session(cores: int = 8, app: str = "strandwell") -> SparkSession:
     """A local session; clusters bring their own."""
@@ -44,12 +46,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives a lost executor, keeps column pruning."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # Small row groups: a task holds one of them for each file it writes.
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session: Python stages must find it wherever they run."""
+    # Batches sent to Python are bounded by bytes, as texts may be of any length.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_strandwell_shipped", False):
         return
