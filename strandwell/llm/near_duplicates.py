@@ -10,9 +10,11 @@ and the distance of each candidate is verified exactly, so no pair is lost and n
 The common order is rarest first, by a counting sketch of fixed size over the fingerprints of all texts: blocks made
 of boilerplate come last and are hardly ever joined on. The order decides only how many candidates there are.
 
-Texts are fingerprinted once each however many records and snapshots hold them; blocks are joined between distinct
-texts, and copies are put back at the end. A 64-bit SimHash was not used: at a Jaccard similarity of 0.7 the angle of
-two texts lets about 12 of 64 bits differ, and blocks that tolerate this are three bits wide.
+Each distinct text is handled once however many records and snapshots hold it. It bears a 64-bit signature of its
+snapshots, and texts whose signatures share no bit are no candidates; whether they do share a snapshot is checked at the
+end, where copies are put back. Blocks that very many texts hold are split into cells in which each pair meets once.
+A 64-bit SimHash was not used: at a Jaccard similarity of 0.7 the angle of two texts lets about 12 of 64 bits differ, and
+blocks that tolerate this are three bits wide.
 
 Defined cases: null, empty and shorter texts have no shingles and are like nothing; repeated rows are one record;
 records of incomplete snapshots count; empty tables give empty results; other columns are ignored.
@@ -33,7 +35,10 @@ from strandwell.session import materialize
 SHINGLE = 3  # tokens in a run
 SIMILARITY = (7, 10)  # the threshold as a fraction
 SKETCH_BITS = 18  # 2**18 counters whatever the data's size
-SLICE_BYTES = 1 << 20  # text bytes hashed at a time
+SLICE_BYTES = 1 << 19  # text bytes hashed at a time
+HOT = 2048  # texts of a block that are compared in one cell
+_SHINGLED = r"\A[^a-z0-9_]*+(?:[a-z0-9_]++[^a-z0-9_]++){%d}[a-z0-9_]" % (SHINGLE - 1)
+_MASK = np.uint64((1 << SKETCH_BITS) - 1)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _IS_TOKEN = np.zeros(256, bool)
@@ -95,82 +100,112 @@ def shingle_sets(texts: pa.Array, run: int = SHINGLE) -> Iterator[tuple[int, int
         i = j
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, sizes, hashes in shingle_sets(b.column("low")):
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("digest").slice(i, j - i), pa.array(sizes.astype(np.int32)), lists], names=["digest", "size", "shingles"])
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(text_no, digest, sig, text) of every distinct text with a shingle, written once; sig has a bit for each snapshot that holds it, by hash."""
+    bit = F.expr("shiftleft(1L, int(pmod(xxhash64(snapshot), 64)))")
+    each = rows.where(F.lower("text").rlike(_SHINGLED)).select(F.md5("text").alias("digest"), snapshot_of().alias("snapshot"), "text").withColumn("sig", bit)
+    texts = each.groupBy("digest").agg(F.bit_or("sig").alias("sig"), F.first("text").alias("text"))
+    return materialize(texts.select(F.monotonically_increasing_id().alias("text_no"), "digest", "sig", "text"), "texts")
 
 
-def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(text_no, digest, size, shingles) of every distinct text with at least one shingle, written once."""
-    # One copy of a text is kept before it is fingerprinted; texts move compressed, fingerprints would not compress.
-    texts = nodes.where(F.length("text") > 0).select(F.md5("text").alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-    prints = texts.select("digest", F.lower("text").alias("low")).mapInArrow(_fingerprints, "digest string, size int, shingles array<bigint>")
-    return materialize(prints.where("size > 0").withColumn("text_no", F.monotonically_increasing_id()), "fingerprints")
+def _low(texts: DataFrame) -> DataFrame:
+    return texts.select("text_no", "sig", F.lower("text").alias("low"))
 
 
-def _lists(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    a = b.column("shingles")
-    return a.flatten().to_numpy(zero_copy_only=False), b.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """(text_no, size, shingles) of every text."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, sizes, hashes in shingle_sets(b.column("low")):
+                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("text_no").slice(i, j - i), pa.array(sizes.astype(np.int32)), lists], names=["text_no", "size", "shingles"])
+
+    return _low(texts).mapInArrow(hashed, "text_no bigint, size int, shingles array<bigint>").where("size > 0")
 
 
-def shingle_weights(prints: DataFrame) -> np.ndarray:
+def shingle_weights(texts: DataFrame) -> np.ndarray:
     """How many texts' shingles fall on each of 2**SKETCH_BITS counters: over all texts, of one size whatever theirs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            hashes, _ = _lists(b)
-            total += np.bincount(hashes & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
+            for _, _, _, hashes in shingle_sets(b.column("low")):
+                total += np.bincount((hashes & _MASK).astype(np.int64), minlength=1 << SKETCH_BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    rows = prints.select("size", "shingles").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    weights = np.zeros(1 << SKETCH_BITS, np.uint32)
-    weights[rows.column("at").to_numpy()] = np.minimum(rows.column("n").to_numpy(), 0xFFFFFFFF)
+    rows = _low(texts).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    weights = np.zeros(1 << SKETCH_BITS, np.int64)
+    weights[rows.column("at").to_numpy()] = rows.column("n").to_numpy()
     return weights
 
 
-def blocks(prints: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(block, text_no, size, position): of each text the d+1 rarest shingles, one of which every partner shares."""
-    weights = prints.sparkSession.sparkContext.broadcast(shingle_weights(prints))  # 1 MB, fixed
+def blocks(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(block, side, text_no, sig, size, position): of each text the d+1 rarest shingles, one of which every partner shares.
+
+    A block that more than `hot` texts may hold is split: its texts are hashed to s groups, and a text of group g goes to the s cells
+    {g, h}. Each pair of texts meets in one cell, which holds about 2 * hot texts; side is the text's group in a cell of two, else -1.
+    """
+    found = shingle_weights(texts)
+    noise = float(found.mean())  # what a counter holds by chance of other shingles
+    weights = texts.sparkSession.sparkContext.broadcast(np.minimum(found, 0xFFFFFFFF).astype(np.uint32))  # 1 MB, fixed
     num, den = similarity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes = _lists(b)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((hashes, weights.value[hashes & ((1 << SKETCH_BITS) - 1)], owner))
-            position = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = position < np.repeat(sizes - (num * sizes + den - 1) // den + 1, sizes)
-            hashes, owner, position = hashes[order][keep], owner[keep], position[keep]
-            numbers = b.column("text_no").to_numpy(zero_copy_only=False)
-            for i in range(0, len(hashes), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[part]), pa.array(numbers[owner[part]]), pa.array(sizes[owner[part]].astype(np.int32)), pa.array(position[part].astype(np.int32))], names=["block", "text_no", "size", "position"])
-
-    return prints.select("text_no", "size", "shingles").mapInArrow(cut, "block bigint, text_no bigint, size int, position int")
-
-
-def similar_texts(prints: DataFrame, members: DataFrame | None = None, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(a, b, common), a < b: pairs of distinct texts at least that similar; with members (text_no, bucket), only pairs that share a bucket."""
+            numbers, sigs = (b.column(c).to_numpy(zero_copy_only=False) for c in ("text_no", "sig"))
+            for i, _, sizes, hashes in shingle_sets(b.column("low")):
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                weight = weights.value[(hashes & _MASK).astype(np.int64)]
+                order = np.lexsort((hashes, weight, owner))
+                position = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = position < np.repeat(sizes - (num * sizes + den - 1) // den + 1, sizes)
+                key, weight, at, position = hashes[order][keep], weight[order][keep], owner[keep], position[keep]
+                side = np.full(len(key), -1, np.int32)
+                parts = np.maximum(1, np.ceil((weight - noise) / hot)).astype(np.int64)
+                if (parts > 1).any():
+                    key, side, at, position = _cells(key, parts, numbers[i + at], at, position)
+                for k in range(0, len(key), 1 << 15):
+                    part = slice(k, k + (1 << 15))
+                    own = at[part]
+                    columns = [key[part].view(np.int64), side[part], numbers[i + own], sigs[i + own], sizes[own].astype(np.int32), position[part].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "side", "text_no", "sig", "size", "position"])
+
+    return _low(texts).mapInArrow(cut, "block bigint, side int, text_no bigint, sig bigint, size int, position int")
+
+
+def _cells(key: np.ndarray, parts: np.ndarray, numbers: np.ndarray, at: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of split blocks once for each cell they belong to."""
+    group = (_mixed(numbers.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(len(key)), parts)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    mine, split = group[row], parts[row] > 1
+    cell = np.minimum(mine, other) * parts[row] + np.maximum(mine, other) + 1
+    key = np.where(split, _mixed(key[row] ^ _mixed(cell.astype(np.uint64))), key[row])
+    return key, np.where(split & (mine != other), mine, -1).astype(np.int32), at[row], position[row]
+
+
+def similar_texts(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(a, b, common), a < b: pairs of distinct texts at least that similar that may share a snapshot."""
     num, den = similarity
-    x = blocks(prints, similarity)
-    y = x.select("block", *[F.col(c).alias(f"{c}_b") for c in ("text_no", "size", "position")])
+    x = blocks(texts, similarity, hot)
+    y = x.select("block", *[F.col(c).alias(f"{c}_b") for c in ("side", "text_no", "sig", "size", "position")])
     # What may still be common after a first common element at these positions, against what must be.
-    may = 1 + F.least(F.col("size") - F.col("position"), F.col("size_b") - F.col("position_b")) - 1
-    pairs = (
+    may = F.least(F.col("size") - F.col("position"), F.col("size_b") - F.col("position_b"))
+    pairs = materialize(
         x.join(y, "block")
-        .where((F.col("text_no") < F.col("text_no_b")) & (F.col("size") * num <= F.col("size_b") * den) & (F.col("size_b") * num <= F.col("size") * den))
+        .where((F.col("text_no") < F.col("text_no_b")) & (F.col("sig").bitwiseAND(F.col("sig_b")) != 0) & ((F.col("side") < 0) | (F.col("side") != F.col("side_b"))))
+        .where((F.col("size") * num <= F.col("size_b") * den) & (F.col("size_b") * num <= F.col("size") * den))
         .where(may * (num + den) >= (F.col("size") + F.col("size_b")) * num)
         .select(F.col("text_no").alias("a"), F.col("text_no_b").alias("b"))
-        .distinct()
+        .distinct(),
+        "candidates",
     )
-    if members is not None:
-        left, right = members.select(F.col("text_no").alias("a"), "bucket"), members.select(F.col("text_no").alias("b"), "bucket")
-        pairs = pairs.join(left, "a").join(right, ["b", "bucket"]).select("a", "b").distinct()
+    # Only texts of candidates are fingerprinted again for the exact check.
+    asked = pairs.select(F.col("a").alias("text_no")).unionByName(pairs.select(F.col("b").alias("text_no"))).distinct()
+    prints = fingerprints(texts.join(asked, "text_no", "left_semi"))
     pa_, pb = prints.select(F.col("text_no").alias("a"), F.col("shingles").alias("sa"), F.col("size").alias("na")), prints.select(F.col("text_no").alias("b"), F.col("shingles").alias("sb"), F.col("size").alias("nb"))
     common = F.size(F.array_intersect("sa", "sb"))
     # Hamming distance na + nb - 2 common <= (den - num) / (den + num) * (na + nb)
@@ -202,26 +237,20 @@ def components(edges: DataFrame) -> DataFrame:
         e = new
 
 
-def _texts_and_records(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """fingerprints, records (canonical_id, snapshot, text_no), and the texts of each snapshot (text_no, bucket)."""
+def _texts_and_records(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts, and records (canonical_id, snapshot, text_no)."""
     rows = valid_rows(nodes)
-    prints = fingerprints(rows)
-    records = materialize(
-        rows.where(F.length("text") > 0)
-        .select("canonical_id", snapshot_of().alias("snapshot"), F.md5("text").alias("digest"))
-        .distinct()
-        .join(prints.select("digest", "text_no"), "digest")
-        .select("canonical_id", "snapshot", "text_no"),
-        "records",
-    )
-    return prints, records, records.select("text_no", F.col("snapshot").alias("bucket")).distinct()
+    texts = distinct_texts(rows)
+    ids = rows.where(F.length("text") > 0).select("canonical_id", snapshot_of().alias("snapshot"), F.md5("text").alias("digest")).distinct()
+    return texts, materialize(ids.join(texts.select("digest", "text_no"), "digest").select("canonical_id", "snapshot", "text_no"), "records")
 
 
 def near_duplicate_groups(nodes: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(canonical_id, snapshot_id, class_id, group_id, n_links) of every record with shingles: its class of equal texts, its
     group of classes linked within the snapshot, and the number of other classes its own is linked to. One row a record."""
-    prints, records, members = _texts_and_records(nodes)
-    pairs = materialize(similar_texts(prints, members, similarity).select("a", "b"), "similar")
+    texts, records = _texts_and_records(nodes)
+    members = records.select("text_no", F.col("snapshot").alias("bucket")).distinct()
+    pairs = materialize(similar_texts(texts, similarity).select("a", "b"), "similar")
     m = members.select("bucket", F.col("text_no").alias("a")), members.select("bucket", F.col("text_no").alias("b"))
     links = pairs.join(m[0], "a").join(m[1], ["b", "bucket"])
     vertex = lambda c: F.concat_ws("/", "bucket", F.lpad(F.col(c).cast("string"), 20, "0"))
@@ -236,8 +265,8 @@ def near_duplicate_groups(nodes: DataFrame, similarity: tuple[int, int] = SIMILA
 
 def near_duplicate_pairs(nodes: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(canonical_id_a, canonical_id_b), a < b: all record pairs of one snapshot at least that similar."""
-    prints, records, members = _texts_and_records(nodes)
-    pairs = similar_texts(prints, members, similarity)
+    texts, records = _texts_and_records(nodes)
+    pairs = similar_texts(texts, similarity)
     a = records.select(F.col("canonical_id").alias("ida"), "snapshot", F.col("text_no").alias("a"))
     b = records.select(F.col("canonical_id").alias("idb"), "snapshot", F.col("text_no").alias("b"))
     near = pairs.select("a", "b").join(a, "a").join(b, ["b", "snapshot"]).select("ida", "idb")

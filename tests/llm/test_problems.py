@@ -45,6 +45,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and len(got) > 5
 
 
+def test_split_blocks_give_the_same_pairs(spark):
+    rng = random.Random(44)
+    base = [f"w{n}" for n in range(40)]
+    texts = [" ".join([*base, *(f"n{rng.randrange(9)}" for _ in range(rng.randrange(0, 12)))]) for _ in range(40)]
+    rows = [(f"r::s{n % 3}::cs::{n}", t) for n, t in enumerate(texts)]
+    kept, _ = near_duplicates._texts_and_records(nodes(spark, rows))
+    one, many = ({(r.a, r.b): r.common for r in near_duplicates.similar_texts(kept, hot=hot).collect()} for hot in (10**6, 1))
+    assert one == many and len(one) > 50
+    cells = near_duplicates.blocks(kept, hot=1)
+    assert cells.where("side >= 0").count() > 0
+    assert cells.groupBy("block").count().agg({"count": "max"}).first()[0] < len(texts)
+
+
 def test_groups_are_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(n, n + 1) for n in range(100, 130)]
