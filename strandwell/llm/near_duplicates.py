@@ -190,7 +190,7 @@ def _cells(key: np.ndarray, parts: np.ndarray, numbers: np.ndarray, at: np.ndarr
 def similar_texts(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
     """(a, b, common), a < b: pairs of distinct texts at least that similar that may share a snapshot."""
     num, den = similarity
-    x = blocks(texts, similarity, hot)
+    x = blocks(texts, similarity, hot).repartition("block")  # one shuffle that both sides of the join read
     y = x.select("block", *[F.col(c).alias(f"{c}_b") for c in ("side", "text_no", "sig", "size", "position")])
     # What may still be common after a first common element at these positions, against what must be.
     may = F.least(F.col("size") - F.col("position"), F.col("size_b") - F.col("position_b"))
