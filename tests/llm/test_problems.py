@@ -139,6 +139,34 @@ def test_no_conversations(spark, tmp_path):
     assert kept(spark, tmp_path, []) == []
 
 
+def test_conversations_are_the_same_in_any_micro_batches_and_parts(spark, tmp_path):
+    rng = random.Random(3)
+    rows = []
+    for s in range(30):
+        for t in range(rng.randrange(1, 7)):
+            at = f"2025-{rng.randrange(1, 12):02d}-01T0{rng.randrange(4)}:00:00Z"
+            rows += [(f"s{s}-{t}", f"S{s}", at, "q", None)] * rng.randrange(1, 3) + [(f"s{s}-{t}", f"s{s}", at, None, "a")] * rng.randrange(8 > rng.randrange(9), 3)
+        if s % 7 == 0:
+            rows.append((f"s{s}-x", f"s{s}", "no time", "q", "a"))
+    rng.shuffle(rows)
+    path = str(tmp_path / "turns.parquet")
+    spark.createDataFrame([(*r, "u") for r in rows], TURN).repartition(6).write.parquet(path)
+    runs = [sorted((r.session_id, r.turn_no, r.turn_id) for r in conversations.conversations(spark, path, n, files).collect()) for n, files in ((10**6, None), (10**6, 1), (3, 2))]
+    turns = {}
+    for t, s, at, q, a, *_ in rows:
+        v = turns.setdefault((s.lower(), t), [at, None, None])
+        v[1], v[2] = v[1] or q, v[2] or a
+    broken = {s for (s, _), v in turns.items() if None in v or v[0] == "no time"}
+    want = sorted((s, n, t) for s in {s for s, _ in turns} - broken for n, (_, t) in enumerate(sorted((v[0], t) for (x, t), v in turns.items() if x == s), 1))
+    assert want and broken and runs == [want] * 3
+
+
+def test_an_answer_after_the_closure_is_merged(spark):
+    out = [("s", 0, 10, False, 1, "a", 1, "q", None), ("s", 0, 90, True, 1, "a", 1, None, "late"), ("t", 0, 10, True, 1, "b", 2, "q", "a"), ("u", 0, 10, True, 1, "c", 2, "q", "a"), ("u", 0, 90, False, 1, "d", 3, "q", None)]
+    got = conversations.reconciled(spark.createDataFrame(out, conversations._OUT)).collect()
+    assert sorted((r.session_id, r.turn_no, r.turn_id, r.answer) for r in got) == [("s", 1, "a", "late"), ("t", 1, "b", "a")]
+
+
 # Problem 7
 
 
