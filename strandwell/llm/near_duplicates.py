@@ -3,9 +3,10 @@
 A text's fingerprint is the set of 64-bit hashes of its runs of three tokens, and the Hamming distance of two texts is
 the number of shingles only one of them has. Similarity >= t is the same as distance <= (1-t)/(1+t) * (|A|+|B|), and
 a text A of n shingles can lose at most d = n - ceil(t*n) of them against any partner. So split A's fingerprint, in an
-order common to all texts, into its first d+1 elements and the rest: by the pigeonhole principle one of the first d+1
-survives in every partner, and both sides of a close pair share at least one such block. Texts are joined on blocks
-and the distance of each candidate is verified exactly, so no pair is lost and none is invented.
+order common to all texts, into its first d+s elements and the rest: by the pigeonhole principle s of the first d+s survive
+in every partner, and both sides of a close pair share at least s such blocks (SHARED; fewer only where the smaller text
+has fewer). Texts are joined on blocks, pairs that share s are candidates, and the distance of each candidate is verified
+exactly, so no pair is lost and none is invented.
 
 The common order is rarest first, by a counting sketch of fixed size over the fingerprints of all texts: blocks made
 of boilerplate come last and are hardly ever joined on. The order decides only how many candidates there are.
@@ -36,6 +37,7 @@ SHINGLE = 3  # tokens in a run
 SIMILARITY = (7, 10)  # the threshold as a fraction
 SKETCH_BITS = 18  # 2**18 counters whatever the data's size
 SLICE_BYTES = 1 << 19  # text bytes hashed at a time
+SHARED = 4  # blocks that a close pair shares at least
 HOT = 2048  # texts of a block that are compared in one cell
 _SHINGLED = r"\A[^a-z0-9_]*+(?:[a-z0-9_]++[^a-z0-9_]++){%d}[a-z0-9_]" % (SHINGLE - 1)
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
@@ -143,7 +145,7 @@ def shingle_weights(texts: DataFrame) -> np.ndarray:
 
 
 def blocks(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(block, side, text_no, sig, size, position): of each text the d+1 rarest shingles, one of which every partner shares.
+    """(block, side, text_no, sig, size, position): of each text the d+SHARED rarest shingles, SHARED of which every partner shares.
 
     A block that more than `hot` texts may hold is split: its texts are hashed to s groups, and a text of group g goes to the s cells
     {g, h}. Each pair of texts meets in one cell, which holds about 2 * hot texts; side is the text's group in a cell of two, else -1.
@@ -161,7 +163,7 @@ def blocks(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, hot: int
                 weight = weights.value[(hashes & _MASK).astype(np.int64)]
                 order = np.lexsort((hashes, weight, owner))
                 position = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = position < np.repeat(sizes - (num * sizes + den - 1) // den + 1, sizes)
+                keep = position < np.repeat(sizes - (num * sizes + den - 1) // den + SHARED, sizes)
                 key, weight, at, position = hashes[order][keep], weight[order][keep], owner[keep], position[keep]
                 side = np.full(len(key), -1, np.int32)
                 parts = np.maximum(1, np.ceil((weight - noise) / hot)).astype(np.int64)
@@ -192,15 +194,18 @@ def similar_texts(texts: DataFrame, similarity: tuple[int, int] = SIMILARITY, ho
     num, den = similarity
     x = blocks(texts, similarity, hot).repartition("block")  # one shuffle that both sides of the join read
     y = x.select("block", *[F.col(c).alias(f"{c}_b") for c in ("side", "text_no", "sig", "size", "position")])
-    # What may still be common after a first common element at these positions, against what must be.
-    may = F.least(F.col("size") - F.col("position"), F.col("size_b") - F.col("position_b"))
+    # What may be common at most where one of the first SHARED common elements has these positions, against what must be.
+    may = F.least(F.col("size") - F.col("position"), F.col("size_b") - F.col("position_b")) + (SHARED - 1)
+    need = F.least(F.lit(SHARED), F.ceil(F.greatest("size", "size_b") * num / den))
     pairs = materialize(
         x.join(y, "block")
         .where((F.col("text_no") < F.col("text_no_b")) & (F.col("sig").bitwiseAND(F.col("sig_b")) != 0) & ((F.col("side") < 0) | (F.col("side") != F.col("side_b"))))
         .where((F.col("size") * num <= F.col("size_b") * den) & (F.col("size_b") * num <= F.col("size") * den))
         .where(may * (num + den) >= (F.col("size") + F.col("size_b")) * num)
-        .select(F.col("text_no").alias("a"), F.col("text_no_b").alias("b"))
-        .distinct(),
+        .groupBy(F.col("text_no").alias("a"), F.col("text_no_b").alias("b"))
+        .agg(F.count("*").alias("shared"), F.max(need).alias("need"))
+        .where("shared >= need")
+        .select("a", "b"),
         "candidates",
     )
     # Only texts of candidates are fingerprinted again for the exact check.
