@@ -35,7 +35,7 @@ from strandwell.session import materialize, new_path
 IDLE_GAP_MS = 24 * 3600 * 1000
 LATENESS_MS = 7 * 24 * 3600 * 1000
 PART_ROWS = 100_000  # rows of a session that one key may hold, by count
-BUCKET_ROWS = 20_000  # rows a key holds on the average
+BUCKET_ROWS = 2_000  # rows a key holds on the average
 BUCKETS = 512  # keys where nothing is known of the source's size
 NO_TIME = 2**63 - 1
 _STATE = "turns binary"
