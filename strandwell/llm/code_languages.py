@@ -27,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandwell.llm.sampling import hash_sample
 from strandwell.llm.source_files import clean_path
 from strandwell.llm.splitting import clean_type
 from strandwell.records import id_parts, snapshot_of, trimmed, valid_rows
+from strandwell.session import materialize
 
 LANGUAGES = ("en", "pl", "de", "fr", "es", "uk", "cs", "pt")
 STATES = ("code", *LANGUAGES)
 WORDS = 5
-SAMPLE_DOCS = 150  # labelled documents a language
-SAMPLE_CHARS = 4000  # of each
-SAMPLE_FILES = 300
+SAMPLE_DOCS = 150  # labelled documents a language, about
+SAMPLE_FILES = 300  # about
 BUCKETS = 1 << 16
 SWITCH = 9.0  # nats a change of state costs
 BATCH_CHARS = 400_000
@@ -64,11 +65,52 @@ def codes_of(text: str) -> np.ndarray:
     return ((h * np.uint64(0x2545F491) >> np.uint64(13)) & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
-def _table(texts: dict[str, list[str]]) -> np.ndarray:
+def _sample(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(state, kind, text): SAMPLE_DOCS labelled documents a language and SAMPLE_FILES files, written once."""
+    lang = F.regexp_extract(F.lower(trimmed("lang")), r"^([a-z]{2})(?:[-_].*)?$", 1)
+    docs = hash_sample(documents.select("doc_id", lang.alias("state"), "text").where(F.col("state").isin(*LANGUAGES)), "doc_id", SAMPLE_DOCS, "state")
+    files = hash_sample(nodes.select("canonical_id", "text", clean_type("file_type").alias("kind")), "canonical_id", SAMPLE_FILES)
+    both = docs.select("state", F.lit("").alias("kind"), "text").unionByName(files.select(F.lit("code").alias("state"), F.coalesce("kind", F.lit("")).alias("kind"), "text"))
+    return materialize(both.where(F.length("text") > 0), "language-sample")
+
+
+def _counted(table: np.ndarray | None):
+    """Trigram counts of a sample's texts by state; with a table, of documents whose label it agrees with."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(STATES), BUCKETS), np.int64)
+        for b in batches:
+            for state, kind, text in zip(b.column("state").to_pylist(), b.column("kind").to_pylist(), b.column("text")):
+                t, s = text.as_py(), STATES.index(state)
+                if state == "code":
+                    counts[s] += np.bincount(codes_of(without_spans(t, kind)), minlength=BUCKETS)
+                    continue
+                t = re.sub(r"\s+", " ", _NOT_PROSE.sub(" ", t))
+                if table is not None and (len(t) <= 60 or 1 + int(np.argmax(table[codes_of(t)][:, 1:].sum(0))) != s):
+                    continue
+                if not t.isascii():
+                    plain = t
+                    if state == "de":
+                        for x, y in _GERMAN:
+                            plain = plain.replace(x, y)
+                        t_plain = folded(plain)
+                        counts[s] += np.bincount(codes_of(plain), minlength=BUCKETS)
+                    else:
+                        t_plain = folded(t)
+                        counts[s] += np.bincount(codes_of(t), minlength=BUCKETS)
+                    counts[s] += np.bincount(codes_of(t_plain), minlength=BUCKETS)
+                else:
+                    counts[s] += np.bincount(codes_of(t), minlength=BUCKETS)
+        state, bucket = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(state), pa.array(bucket), pa.array(counts[state, bucket])], names=["state", "bucket", "n"])
+
+    return count
+
+
+def _table(sample: DataFrame, before: np.ndarray | None) -> np.ndarray:
+    rows = sample.mapInArrow(_counted(before), "state bigint, bucket bigint, n bigint").groupBy("state", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most states x BUCKETS
     counts = np.zeros((BUCKETS, len(STATES)), np.float64)
-    for s, name in enumerate(STATES):
-        for t in texts.get(name, ()):
-            counts[:, s] += np.bincount(codes_of(t), minlength=BUCKETS)
+    counts[rows.column("bucket").to_numpy(), rows.column("state").to_numpy()] = rows.column("n").to_numpy()
     total = counts.sum(0)
     table = np.log((counts + 0.02) / (total + 0.02 * BUCKETS))
     table[:, total == 0] = -30.0
@@ -76,31 +118,9 @@ def _table(texts: dict[str, list[str]]) -> np.ndarray:
 
 
 def train(documents: DataFrame, nodes: DataFrame) -> np.ndarray:
-    """The emission table (BUCKETS x states), 2.3 MB whatever the data's size."""
-    lang = F.regexp_extract(F.lower(trimmed("lang")), r"^([a-z]{2})(?:[-_].*)?$", 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = documents.select("doc_id", lang.alias("lang")).where(F.col("lang").isin(*LANGUAGES)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang")
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").collect()  # SAMPLE_DOCS a language
-    files = nodes.where(F.length("text") > 0).select("canonical_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), clean_type("file_type").alias("kind")).orderBy(F.xxhash64("canonical_id"), "canonical_id").limit(SAMPLE_FILES).collect()
-    code = [without_spans(r.text, r.kind or "") for r in files]
-    docs = [(r.lang, re.sub(r"\s+", " ", _NOT_PROSE.sub(" ", r.text))) for r in rows]
-
-    def fit(pairs: list[tuple[str, str]]) -> np.ndarray:
-        texts: dict[str, list[str]] = {"code": code}
-        for name, t in pairs:
-            texts.setdefault(name, []).append(t)
-            if not t.isascii():
-                plain = folded(t)
-                if name == "de":
-                    for a, b in _GERMAN:
-                        t = t.replace(a, b)
-                    plain = folded(t)
-                texts[name].append(plain)
-        return _table(texts)
-
-    table = fit(docs)
-    kept = [(name, t) for name, t in docs if len(t) > 60 and STATES[1 + int(np.argmax(table[codes_of(t)][:, 1:].sum(0)))] == name]
-    return fit(kept)
+    """The emission table (BUCKETS x states), 2.3 MB whatever the data's size. Texts are counted where they are; only counts reach the driver."""
+    sample = _sample(documents, nodes)
+    return _table(sample, _table(sample, None))
 
 
 _C_SPANS = re.compile(r"(?P<line>(?://[^\n]*\n?[ \t]*)+)|/\*(?P<block>[\s\S]*?)(?:\*/|\Z)|\$?@\$?\"(?P<verbatim>(?:\"\"|[^\"])*)(?:\"|\Z)|\"\"\"(?P<raw>[\s\S]*?)(?:\"\"\"|\Z)|\"(?P<str>(?:\\.|[^\"\\\n])*)(?:\"|\n|\Z)|`(?P<tick>(?:\\.|[^`\\])*)(?:`|\Z)|'(?P<apos>(?:\\.|[^'\\\n])*)'")
