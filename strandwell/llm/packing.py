@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers with texts (problem 8), by Karmarkar-Karp multiway differencing.
 
 Texts are spread by hash over groups whose contents fill about GROUP_CONTAINERS containers, so every group is small
-whatever the data's size and no key can be hot. In each group the number of containers starts at the least that could
-hold its tokens; partial partitions with the largest differences are merged, large sums on small ones, until one is
-left, and the number of containers rises as long as a container of the result exceeds the capacity.
+whatever the data's size and no key can be hot. In each group the number of containers is the least that could hold its tokens; partial partitions
+with the largest differences are merged, large sums on small ones, until one is left. Where a container of the result
+exceeds the capacity, items are moved and exchanged into the gaps of others, and what still has no place gets containers
+of its own, packed in the same way.
 
 A text larger than the capacity is cut into full containers and a rest, which is packed like any text; no other text
 is split. Defined cases: texts without tokens (null, empty) need no place and have no row; several rows of one doc_id
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,61 +23,126 @@ from pyspark.sql import functions as F
 from strandwell.llm.tokens import TOKENIZERS, with_tokens
 from strandwell.session import materialize
 
-GROUP_CONTAINERS = 48
+GROUP_CONTAINERS = 256
+GROUP_ITEMS = 20_000  # above, a group's smallest items are bundled
 SEED = 7
 _OUT = "container_kind string, capacity_tokens bigint, container_id string, doc_id bigint, from_token bigint, to_token bigint"
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """The items of k near-equal windows."""
-    # A partial partition: k (sum, members) in descending order of sums; members are nested pairs until the end.
-    heap = []
-    for n, size in enumerate(sizes):
-        parts = [(size, (n,))] + [(0, None)] * (k - 1)
-        heapq.heappush(heap, (-size, n, parts))
-    tick = len(sizes)
+    if not sizes or k == 1:
+        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
+    n = len(sizes)
+    # A partial partition holds its k sums in descending order; one of a single item is only its size.
+    heap = [(-size, i) for i, size in enumerate(sizes)]
+    heapq.heapify(heap)
+    sums: dict[int, np.ndarray] = {}
+    merges: list[tuple[int, int, np.ndarray]] = []
+
+    def taken() -> tuple[int, np.ndarray]:
+        _, i = heapq.heappop(heap)
+        if i >= n:
+            return i, sums.pop(i)
+        alone = np.zeros(k, np.int64)
+        alone[0] = sizes[i]
+        return i, alone
+
     while len(heap) > 1:
-        _, _, a = heapq.heappop(heap)
-        _, _, b = heapq.heappop(heap)
-        merged = [(x[0] + y[0], (x[1], y[1]) if x[1] and y[1] else x[1] or y[1]) for x, y in zip(a, reversed(b))]
-        merged.sort(key=lambda p: -p[0])
-        tick += 1
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], tick, merged))
-    out = []
-    for _, members in heap[0][2] if heap else []:
-        flat, stack = [], [members]
-        while stack:
-            m = stack.pop()
-            if isinstance(m, int):
-                flat.append(m)
-            elif m:
-                stack.extend(m)
-        out.append(flat)
-    return out
+        (i, a), (j, b) = taken(), taken()
+        both = a + b[::-1]
+        order = np.argsort(-both, kind="stable")
+        sums[n + len(merges)] = both = both[order]
+        heapq.heappush(heap, (int(both[-1] - both[0]), n + len(merges)))
+        merges.append((i, j, order))
+    windows: list[list[int]] = [[] for _ in range(k)]
+    stack = [(heap[0][1], np.arange(k))]
+    while stack:  # from the last partition back to the items
+        i, at = stack.pop()
+        if i < n:
+            windows[at[0]].append(i)
+        else:
+            left, right, order = merges[i - n]
+            was = np.empty(k, np.int64)
+            was[order] = at
+            stack += [(left, was), (right, was[::-1])]
+    return windows
+
+
+def repaired(windows: list[list[int]], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Windows within capacity, and the items that found no place.
+
+    Full windows give their smallest items up. Each of these, the largest first, goes to the gap it fits best; where none is wide
+    enough, it takes the place of the least smaller item that leaves room for it, and that item is placed in turn.
+    """
+    size = np.asarray(sizes, np.int64)
+    at = np.full(len(size), -1, np.int64)
+    gap = np.full(len(windows), capacity, np.int64)
+    loose = []
+    for w, items in enumerate(windows):
+        for i in sorted(items, key=lambda i: -sizes[i]):
+            if sizes[i] <= gap[w]:
+                gap[w] -= sizes[i]
+                at[i] = w
+            else:
+                loose.append(i)
+    left, todo = [], [(-sizes[i], i) for i in loose]
+    heapq.heapify(todo)
+    while todo:
+        i = heapq.heappop(todo)[1]
+        room = np.where(gap >= size[i], gap, capacity + 1)
+        w = int(room.argmin())
+        if room[w] > capacity:
+            # Items smaller than this one whose place with its window's gap is wide enough.
+            can = np.flatnonzero((at >= 0) & (size < size[i]))
+            can = can[size[can] + gap[at[can]] >= size[i]]
+            if not len(can):
+                left.append(i)
+                continue
+            j = int(can[size[can].argmin()])
+            w = int(at[j])
+            gap[w] += size[j]
+            at[j] = -1
+            heapq.heappush(todo, (-sizes[j], j))
+        gap[w] -= size[i]
+        at[i] = w
+    out: list[list[int]] = [[] for _ in windows]
+    for i in np.flatnonzero(at >= 0):
+        out[at[i]].append(int(i))
+    return out, left
 
 
 def packed(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of at most capacity; sizes are at most capacity each."""
-    if not sizes:
-        return []
-    k = max(1, -(-sum(sizes) // capacity), sum(s * 2 > capacity for s in sizes))
-    while True:
-        windows = differencing(sizes, k)
-        over = sum(max(0, sum(sizes[i] for i in w) - capacity) for w in windows)
-        if not over:
-            return [w for w in windows if w]
-        k = min(len(sizes), k + max(1, over // capacity // 2))
+    """Windows of at most capacity; sizes are at most capacity each. What the least number of windows leaves over gets windows of its own."""
+    todo, out = list(range(len(sizes))), []
+    while todo:
+        part = [sizes[i] for i in todo]
+        k = max(1, -(-sum(part) // capacity), sum(s * 2 > capacity for s in part))
+        windows, left = repaired(differencing(part, k), part, capacity)
+        out += [[todo[i] for i in w] for w in windows if w]
+        todo = [todo[i] for i in left]
+    return out
+
+
+def bundled(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The bundle of each item; only where a group has very many items are its small ones taken together, up to a 64th of the capacity."""
+    number = np.arange(len(sizes))
+    small = sizes * 128 <= capacity
+    if len(sizes) > GROUP_ITEMS and small.any():
+        number[small] = len(sizes) + (np.cumsum(sizes[small]) * 128) // capacity
+    return np.unique(number, return_inverse=True)[1]
 
 
 def _pack(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["size", "doc_id", "from_token"], ascending=[False, True, True], ignore_index=True)
     capacity = int(group["capacity_tokens"].iloc[0])
     name = f"{group['container_kind'].iloc[0]}-{group['grp'].iloc[0]}"
-    at = [0] * len(group)
-    for c, window in enumerate(packed(group["size"].astype(int).tolist(), capacity)):
-        for i in window:
-            at[i] = c
-    group["container_id"] = [f"{name}-{c}" for c in at]
+    sizes = group["size"].to_numpy(np.int64)
+    bundle = bundled(sizes, capacity)
+    at = np.zeros(bundle.max() + 1, np.int64)
+    for c, window in enumerate(packed(np.bincount(bundle, weights=sizes).astype(np.int64).tolist(), capacity)):
+        at[window] = c
+    group["container_id"] = [f"{name}-{c}" for c in at[bundle]]
     group["to_token"] = group["from_token"] + group["size"]
     return group[["container_kind", "capacity_tokens", "container_id", "doc_id", "from_token", "to_token"]]
 
