@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandwell.llm.tokens import TOKENIZERS, with_tokens
 from strandwell.session import materialize
 
-GROUP_CONTAINERS = 256
+GROUP_CONTAINERS = 512
 GROUP_ITEMS = 20_000  # above, a group's smallest items are bundled
 SEED = 7
 _OUT = "container_kind string, capacity_tokens bigint, container_id string, doc_id bigint, from_token bigint, to_token bigint"
@@ -69,59 +69,55 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
-def repaired(windows: list[list[int]], sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
-    """Windows within capacity, and the items that found no place.
+def repaired(windows: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Windows within capacity.
 
-    Full windows give their smallest items up. Each of these, the largest first, goes to the gap it fits best; where none is wide
-    enough, it takes the place of the least smaller item that leaves room for it, and that item is placed in turn.
+    Full windows give up their smallest items. These are placed again together with the items of the emptiest windows, each into
+    the gap it fits best, the largest first; of such windows as few are opened, twice as many at each try, as hold them all. If even
+    all windows can't, there must be more of them.
     """
-    size = np.asarray(sizes, np.int64)
-    at = np.full(len(size), -1, np.int64)
-    gap = np.full(len(windows), capacity, np.int64)
-    loose = []
-    for w, items in enumerate(windows):
-        for i in sorted(items, key=lambda i: -sizes[i]):
-            if sizes[i] <= gap[w]:
-                gap[w] -= sizes[i]
-                at[i] = w
-            else:
-                loose.append(i)
-    left, todo = [], [(-sizes[i], i) for i in loose]
-    heapq.heapify(todo)
-    while todo:
-        i = heapq.heappop(todo)[1]
-        room = np.where(gap >= size[i], gap, capacity + 1)
-        w = int(room.argmin())
-        if room[w] > capacity:
-            # Items smaller than this one whose place with its window's gap is wide enough.
-            can = np.flatnonzero((at >= 0) & (size < size[i]))
-            can = can[size[can] + gap[at[can]] >= size[i]]
-            if not len(can):
+    sums = [sum(sizes[i] for i in w) for w in windows]
+    kept, loose = [], []
+    for w, total in zip(windows, sums):
+        w = sorted(w, key=lambda i: -sizes[i])
+        while total > capacity:
+            loose.append(w.pop())
+            total -= sizes[loose[-1]]
+        kept.append((capacity - total, w))
+    if not loose:
+        return [w for _, w in kept]
+    kept.sort(key=lambda p: -p[0])
+    opened = 1
+    while True:
+        opened = min(len(kept), opened * 2)
+        items = sorted([*loose, *(i for _, w in kept[:opened] for i in w)], key=lambda i: -sizes[i])
+        whole = [list(w) for _, w in kept[opened:]] + [[] for _ in range(opened)]
+        gap = np.array([g for g, _ in kept[opened:]] + [capacity] * opened, np.int64)
+        left = []
+        for i in items:
+            room = np.where(gap >= sizes[i], gap, capacity + 1)
+            w = int(room.argmin())
+            if room[w] > capacity:
                 left.append(i)
-                continue
-            j = int(can[size[can].argmin()])
-            w = int(at[j])
-            gap[w] += size[j]
-            at[j] = -1
-            heapq.heappush(todo, (-sizes[j], j))
-        gap[w] -= size[i]
-        at[i] = w
-    out: list[list[int]] = [[] for _ in windows]
-    for i in np.flatnonzero(at >= 0):
-        out[at[i]].append(int(i))
-    return out, left
+            else:
+                gap[w] -= sizes[i]
+                whole[w].append(i)
+        if not left:
+            return whole
+        if opened == len(kept):
+            return whole + packed_items(left, sizes, capacity)
+
+
+def packed_items(items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    return [[items[i] for i in w] for w in packed([sizes[i] for i in items], capacity)]
 
 
 def packed(sizes: list[int], capacity: int) -> list[list[int]]:
     """Windows of at most capacity; sizes are at most capacity each. What the least number of windows leaves over gets windows of its own."""
-    todo, out = list(range(len(sizes))), []
-    while todo:
-        part = [sizes[i] for i in todo]
-        k = max(1, -(-sum(part) // capacity), sum(s * 2 > capacity for s in part))
-        windows, left = repaired(differencing(part, k), part, capacity)
-        out += [[todo[i] for i in w] for w in windows if w]
-        todo = [todo[i] for i in left]
-    return out
+    if not sizes:
+        return []
+    k = max(1, -(-sum(sizes) // capacity), sum(s * 2 > capacity for s in sizes))
+    return [w for w in repaired(differencing(sizes, k), sizes, capacity) if w]
 
 
 def bundled(sizes: np.ndarray, capacity: int) -> np.ndarray:

@@ -340,6 +340,27 @@ def test_budgets_redistribute_among_siblings_first():
     assert mixing.spread(10, [1, 1], [2, 100]) == pytest.approx([2, 8])
 
 
+def test_shortages_are_made_up_in_the_domain_first():
+    held = {("a", "en"): 100, ("b", "en"): 1000, ("c", "en"): 1000}
+    out = mixing.budgets({"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 1)}, held, 500, {"a": "x", "b": "x", "c": "y"})
+    assert [round(out[(s, "en")]) for s in "abc"] == [100, 200, 200]
+    out = mixing.budgets({"a": (0.4, 1), "b": (0.2, 1), "c": (0.4, 1)}, {**held, ("b", "en"): 150}, 500, {"a": "x", "b": "x", "c": "y"})
+    assert [round(out[(s, "en")]) for s in "abc"] == [100, 150, 250]
+    assert sum(mixing.budgets({"a": (0.5, 1), "b": (0.5, 1)}, {("a", "en"): 100, ("b", "en"): 900}, "held").values()) == pytest.approx(1000)
+
+
+def test_containers_are_nearly_full():
+    rng = random.Random(88)
+    for capacity in (512, 2048, 8192):
+        sizes = [min(capacity, max(1, int(rng.lognormvariate(5.5, 1)))) for _ in range(4000)]
+        windows = packing.packed(sizes, capacity)
+        assert sorted(i for w in windows for i in w) == list(range(len(sizes))) and all(sum(sizes[i] for i in w) <= capacity for w in windows)
+        least = max(-(-sum(sizes) // capacity), sum(s * 2 > capacity for s in sizes))
+        assert len(windows) <= least * 1.005 + 1
+    many = packing.bundled(np.ones(30_000, np.int64), 8192)
+    assert len(set(many)) < 1000 and max(np.bincount(many)) <= 65
+
+
 def test_mix(spark):
     rng = random.Random(9)
     rows = [(n, " ".join(rng.choices("red green blue cyan".split(), k=rng.randrange(5, 40))) + f" {n}", rng.choice(["en", "pl", None]), "A " if n % 5 else "b") for n in range(400)]
