@@ -1,9 +1,10 @@
 """Mixing sources to target weights (problem 9), by hierarchical budgets and seeded epochs.
 
-A mix is a tree: the mix, its sources with their target shares, and below each source its languages in proportion to
-what they hold. The total is passed down by weight. A leaf holds at most its tokens times max_repeats; what it can't
-take goes to its siblings that still can, by weight, and only what a whole source can't take goes to the other sources.
-Without a given total, the total is the largest at which no source falls short, so all shares are met.
+A mix is a tree: its domains, in each domain the sources with their target shares, and below each source its languages in
+proportion to what they hold. The total is passed down by weight. A leaf holds at most its tokens times max_repeats; what
+it can't take goes to its siblings that still can, by weight, and only what a whole source, then a whole domain, can't
+take goes to the others. Without a given total, the total is the largest at which no source falls short, so all shares
+are met; with "held" it is all tokens the mix's sources hold, at which short sources are made up for by others.
 
 A leaf's budget is spent on whole epochs of its texts and on a prefix of one more, in an order seeded by mix, epoch and
 text. The prefix is found without gathering a leaf anywhere: tokens are summed by 1024 ranges of the order's hash,
@@ -26,6 +27,8 @@ from strandwell.session import materialize
 
 RANGE_BITS = 10
 SEED = 11
+#: The domain of each source; a source without one is a domain of its own. A parameter of all functions here.
+DOMAINS = {"answers": "dialog", "tickets": "dialog", "wiki": "docs", "runbooks": "docs", "glossary": "docs", "release_notes": "docs", "code_review": "code", "sql_summaries": "code", "decisions": "code"}
 
 
 def spread(total: float, weights: list[float], limits: list[float]) -> list[float]:
@@ -47,19 +50,27 @@ def spread(total: float, weights: list[float], limits: list[float]) -> list[floa
     return out
 
 
-def budgets(targets: dict[str, tuple[float, int]], held: dict[tuple[str, str], int], total: float | None = None) -> dict[tuple[str, str], float]:
-    """Tokens of each (source, language) leaf; targets: source to (share, max_repeats), held: tokens of each leaf."""
+def budgets(targets: dict[str, tuple[float, int]], held: dict[tuple[str, str], int], total: float | str | None = None, domains: dict[str, str] = DOMAINS) -> dict[tuple[str, str], float]:
+    """Tokens of each (source, language) leaf; targets: source to (share, max_repeats), held: tokens of each leaf; total: a number, "held" or none."""
     names = sorted(s for s in targets if any(k[0] == s and n > 0 for k, n in held.items()))
-    weights = [max(0.0, targets[s][0]) for s in names]
-    leaves = [sorted(k for k in held if k[0] == s) for s in names]
-    limits = [float(sum(held[k] for k in ks) * max(0, targets[s][1])) for s, ks in zip(names, leaves)]
-    if not sum(weights):
+    weight = {s: max(0.0, targets[s][0]) for s in names}
+    leaves = {s: sorted(k for k in held if k[0] == s) for s in names}
+    limit = {s: float(sum(held[k] for k in leaves[s]) * max(0, targets[s][1])) for s in names}
+    whole = sum(weight.values())
+    if not whole:
         return {}
     if total is None:
-        total = min(lim * sum(weights) / w for w, lim in zip(weights, limits) if w > 0)
+        total = min(limit[s] * whole / weight[s] for s in names if weight[s] > 0)
+    elif total == "held":
+        total = float(sum(held[k] for s in names for k in leaves[s]))
+    groups: dict[str, list[str]] = {}
+    for s in names:
+        groups.setdefault(domains.get(s, s), []).append(s)
     out: dict[tuple[str, str], float] = {}
-    for s, ks, tokens in zip(names, leaves, spread(total, weights, limits)):
-        out |= dict(zip(ks, spread(tokens, [float(held[k]) for k in ks], [float(held[k] * targets[s][1]) for k in ks])))
+    # What one source can't take goes to the others of its domain, and only what a domain can't take to other domains.
+    for group, tokens in zip(groups.values(), spread(total, [sum(weight[s] for s in g) for g in groups.values()], [sum(limit[s] for s in g if weight[s] > 0) for g in groups.values()])):
+        for s, part in zip(group, spread(tokens, [weight[s] for s in group], [limit[s] for s in group])):
+            out |= dict(zip(leaves[s], spread(part, [float(held[k]) for k in leaves[s]], [float(held[k] * targets[s][1]) for k in leaves[s]])))
     return out
 
 
@@ -73,7 +84,7 @@ def texts_by_leaf(documents: DataFrame, tokenizers: str = TOKENIZERS) -> DataFra
     return materialize(counted.select("key.*", "tokens").where("tokens > 0"), "leaf-texts")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, tokenizers: str = TOKENIZERS, domains: dict[str, str] = DOMAINS) -> DataFrame:
     """(mix_name, source, lang, doc_id, tokens, times) of every text used, times at most max_repeats."""
     texts = texts_by_leaf(documents, tokenizers)
     held = {(r.source, r.lang): r.tokens for r in texts.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()}  # one row a leaf
@@ -81,7 +92,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     rows = []
     for name in sorted({r.mix_name for r in wanted if r.mix_name}):
         mine = {r.source: (r.share or 0.0, r.repeats if r.repeats is not None else 1) for r in wanted if r.mix_name == name and r.source}
-        for (source, lang), tokens in budgets(mine, held, total_tokens).items():
+        for (source, lang), tokens in budgets(mine, held, total_tokens, domains).items():
             size = held[source, lang]
             epochs = int((tokens + 1e-6) // size)
             rows.append((name, source, lang, epochs, float(tokens - epochs * size) if epochs < mine[source][1] else 0.0))
@@ -102,10 +113,15 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     return used.join(extra, [*leaf, "doc_id"], "left").withColumn("times", F.col("epochs") + F.coalesce("extra", F.lit(0))).where("times > 0").select(*leaf, "doc_id", "tokens", "times")
 
 
-def mix_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """(mix_name, source, target_share, actual_share, tokens, texts, most_times) of every source of every mix."""
-    taken = mix(documents, targets, total_tokens, tokenizers).groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.count("*").alias("texts"), F.max("times").alias("most_times"))
-    total = F.sum("tokens").over(Window.partitionBy("mix_name"))
+def mix_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | str | None = None, tokenizers: str = TOKENIZERS, domains: dict[str, str] = DOMAINS) -> DataFrame:
+    """(mix_name, source, target_share, actual_share, tokens, moved_tokens, texts, most_times) of every source of every mix.
+
+    moved_tokens: what the source got beyond its share of the mix's total, or, below zero, fell short of it by.
+    """
+    taken = mix(documents, targets, total_tokens, tokenizers, domains).groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.count("*").alias("texts"), F.max("times").alias("most_times"))
+    of_mix = Window.partitionBy("mix_name")
+    total = F.sum("tokens").over(of_mix)
     wanted = targets.groupBy("mix_name", F.lower(trimmed("source")).alias("source")).agg(F.sum("target_share").alias("target_share"))
     got = wanted.join(taken, ["mix_name", "source"], "left").na.fill(0, ["tokens", "texts", "most_times"])
-    return got.select("mix_name", "source", "target_share", F.round(F.coalesce(F.col("tokens") / total, F.lit(0.0)), 6).alias("actual_share"), "tokens", "texts", "most_times")
+    moved = F.round(F.col("tokens") - total * F.col("target_share") / F.sum("target_share").over(of_mix)).cast("bigint")
+    return got.select("mix_name", "source", "target_share", F.round(F.coalesce(F.col("tokens") / total, F.lit(0.0)), 6).alias("actual_share"), "tokens", moved.alias("moved_tokens"), "texts", "most_times")

@@ -70,6 +70,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p8_fill": (lambda s, d: container_fill(read(s, d, "documents"), read(s, d, "container_spec")), None),
     "p9_mix": (lambda s, d: mix(read(s, d, "documents"), read(s, d, "mix_target")), None),
     "p9_shares": (lambda s, d: mix_shares(read(s, d, "documents"), read(s, d, "mix_target")), None),
+    "p9_mix_held": (lambda s, d: mix(read(s, d, "documents"), read(s, d, "mix_target"), "held"), None),
+    "p9_shares_held": (lambda s, d: mix_shares(read(s, d, "documents"), read(s, d, "mix_target"), "held"), None),
     "p10_found": (lambda s, d: restored_documents(read(s, d, "documents")).select("doc_id"), None),
     "p10_restored": (lambda s, d: restored_documents(read(s, d, "documents")), None),
 }
