@@ -304,6 +304,29 @@ def test_encodings_are_found_and_undone(spark):
     assert encoding_repair.restored_documents(documents(spark).where("false")).count() == 0
 
 
+def test_characters_are_labelled_each_on_its_own(spark):
+    texts = [t for t in PROSE.values() for _ in range(3)] + ["“Käse” und „größere“ Wörter – 12 €, schön."] * 5
+    codes, n = [], []
+    for b in encoding_repair._pair_counts(None)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        codes += b.column("code").to_pylist()
+        n += b.column("n").to_pylist()
+    model = encoding_repair.Model(np.array(codes), np.array(n, float))
+    text = "Ein „grÃ¶ÃŸeres“ Wort, schÃ¶n."
+    found = encoding_repair.labels(model, [text, "", "plain", "schön – „größer“"])
+    assert encoding_repair.repaired(text, found[0]) == "Ein „größeres“ Wort, schön." and found[1:] == [[], [], []]
+    assert {"Ã¶ÃŸ", "Ã¶"} <= {text[b:e] for b, e, _ in found[0]}
+
+
+def test_best_paths_equal_brute_force():
+    rng = np.random.default_rng(10)
+    parts = [rng.normal(size=(n, 3)).astype(np.float32) * 8 - 20 for n in (1, 4, 6)]
+    for e, path in zip(parts, encoding_repair.viterbi(parts)):
+        def score(p):
+            return sum(e[t, s] for t, s in enumerate(p)) - encoding_repair.SWITCH * sum(a != b for a, b in zip((0, *p), p))
+        best = max(itertools.product(range(3), repeat=len(e)), key=score)
+        assert score(tuple(path)) == pytest.approx(score(best), abs=1e-3)
+
+
 # Problems 8 and 9
 
 
