@@ -44,35 +44,6 @@ def _tumbling_stream(s, d):
     return _ran(t.tumbling(_stream(s, d), lateness="1 hour"))
 
 
-PIPE = """
-name: retrieval
-settings: {entry_step_id: ask, top_k: 5, default_search_method: bm25, graph_max_depth: 2, graph_max_nodes: 40, max_context_tokens: 4000}
-steps:
-  - {id: ask, action: translate_in_if_needed, next: search}
-  - {id: search, action: search_nodes, next: expand}
-  - {id: expand, action: expand_dependency_tree, next: fetch}
-  - {id: fetch, action: fetch_node_texts, next: end}
-"""
-
-
-def _pipeline(s, d):
-    """A whole retrieval pipeline over the largest snapshot."""
-    nodes = read(s, d, "rag_node")
-    sid = nodes.where("snapshot_id IS NOT NULL").groupBy("snapshot_id").count().orderBy(F.desc("count"), "snapshot_id").first()[0]
-    p = loader.build(loader.resolve("retrieval", loader.load([PIPE])))
-    state = engine.run(p, engine.State("rebuilds the price table while the lock is held", {"snapshot_id": sid}), engine.Runtime(s, nodes, read(s, d, "rag_edge")))
-    return s.createDataFrame([(r["node"], int(r["place"]), int(r["tokens"])) for r in state.node_texts], "node string, place int, tokens int")
-
-
-def _compare(s, d):
-    """Top hits of each snapshot of a plan, in one job."""
-    nodes = read(s, d, "rag_node")
-    sids = [r.snapshot_id for r in nodes.where("snapshot_id IS NOT NULL").groupBy("snapshot_id").count().orderBy(F.desc("count"), "snapshot_id").limit(2).collect()]
-    pipe = {"name": "compare", "settings": {"top_k": 3, "default_search_method": "bm25"}, "steps": [{"id": "fork", "action": "fork_action", "snapshots": sids, "next": "search"}, {"id": "search", "action": "search_nodes", "next": "fetch"}, {"id": "fetch", "action": "fetch_node_texts", "next": "merge"}, {"id": "merge", "action": "merge_action", "next": "end"}]}
-    state = engine.run(loader.build(pipe), engine.State("keeps the cached answer"), engine.Runtime(s, nodes))
-    return state.hits
-
-
 def _trace(s, d):
     pipe = {"name": "t", "settings": {"max_turn_loops": 2}, "steps": [{"id": "loop", "action": "loop_guard", "on_allow": "loop", "on_deny": "end"}]}
     state = engine.run(loader.build(pipe), engine.State("q"), engine.Runtime(s, read(s, d, "rag_node")))
@@ -98,8 +69,6 @@ QUERIES = {
     "st_tumbling_stream": (_tumbling_stream, None),
     "st_sliding": (lambda s, d: t.sliding(read(s, d, "events")), "WITH e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS b FROM events), x AS (SELECT b AS from_ts FROM e UNION ALL SELECT b - INTERVAL '30 minutes' FROM e) SELECT from_ts, count(*) AS n FROM x GROUP BY 1"),
     "st_sessions": (lambda s, d: t.sessions(read(s, d, "events")), "WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT user_id, min(ts) AS from_ts, max(ts) + INTERVAL '30 minutes' AS to_ts, count(*) AS n FROM g GROUP BY user_id, g"),
-    "d00_pipeline": (_pipeline, None),
-    "d18_compare": (_compare, None),
     "d09_loop_guard": (_trace, "SELECT * FROM (VALUES (0, 'STEP', 'loop'), (1, 'STEP', 'loop'), (2, 'STEP', 'loop'), (3, 'RUN_END', NULL)) AS t(n, event_type, step)"),
     "sc03_bundle_nodes": (_bundle, "SELECT DISTINCT canonical_id AS local_id, nullif(trim(source_file), '') AS source_file, nullif(trim(class_name), '') AS class_name, CASE WHEN len(acl_allow) > 0 THEN len(acl_allow) ELSE -1 END AS n_acl FROM rag_node WHERE data_type = 'regular_code' AND canonical_id IS NOT NULL AND trim(canonical_id) <> ''"),
 }

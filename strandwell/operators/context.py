@@ -60,6 +60,20 @@ def seeds_then_rest(seeds: DataFrame, graph: DataFrame, key: str, node: str) ->
     return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("part", "a", node)))
 
 
+def rest_then_seeds(seeds: DataFrame, graph: DataFrame, key: str, node: str) -> DataFrame:
+    """Graph nodes that are no seed by (depth, node), then seeds in rank order."""
+    rest = graph.join(seeds.select(key, node), [key, node], "left_anti")
+    both = rest.select(key, node, F.lit(0).alias("part"), F.col("depth").alias("a")).unionByName(seeds.select(key, node, F.lit(1).alias("part"), F.col("rank").alias("a")))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("part", "a", node)))
+
+
+def balanced(seeds: DataFrame, graph: DataFrame, key: str, node: str) -> DataFrame:
+    """A seed, a graph node, a seed ...: seeds by rank, graph nodes that are no seed by (depth, node)."""
+    rest = graph.join(seeds.select(key, node), [key, node], "left_anti")
+    ranked = rest.select(key, node, F.row_number().over(Window.partitionBy(key).orderBy("depth", node)).alias("rank"))
+    return interleaved(seeds.select(key, node, "rank"), ranked, key)
+
+
 def node_block(title: str = "NODE") -> Column:
     """The fixed text of a node in a context."""
     line = lambda label, c: F.when(F.length(F.col(c)) > 0, F.concat(F.lit(f"{label}: "), F.col(c)))

@@ -36,18 +36,20 @@ def equals(column: str, value: str | None) -> Column:
 
 
 def in_snapshot(snapshot_id: str | None) -> Column:
-    """The snapshot scope is mandatory."""
+    """The snapshot scope is mandatory, and one snapshot."""
+    if isinstance(snapshot_id, (list, tuple, set)):
+        raise ValueError("snapshot_id names one snapshot")
     if not snapshot_id or not str(snapshot_id).strip():
         raise ValueError("a snapshot_id is required")
     return F.col("snapshot_id") == str(snapshot_id).strip()
 
 
 def acl_any(tags: Iterable[str] | None, enabled: bool = True) -> Column:
-    """Shares a tag, or is public (null)."""
+    """Shares a tag, or is public (null); a list that holds nothing but null is not public."""
     tags = strings(tags)
     if not enabled or not tags:
         return F.lit(True)
-    return F.coalesce(F.arrays_overlap("acl_allow", literal_array(tags)), F.lit(True))
+    return F.col("acl_allow").isNull() | F.coalesce(F.arrays_overlap("acl_allow", literal_array(tags)), F.lit(False))
 
 
 def labels_any(labels: Iterable[str] | None, allow_unlabeled: bool = True) -> Column:
@@ -142,15 +144,32 @@ def checked_overrides(overrides: Mapping[str, object]) -> dict[str, object]:
     return out
 
 
+def may_see(filters: Mapping[str, object], acl_enabled: bool = True, universe: Iterable[str] | None = None) -> Column:
+    """The asker's access alone: a shared tag or none, no label that the asker lacks, a level within the clearance.
+
+    With a universe of labels, rows fail on its labels that the asker lacks and on labels outside it.
+    """
+    f = normalized(filters)
+    labels = f.get(LABEL_ALIASES[0])
+    of_labels = labels_within_universe(labels or [], universe) if strings(universe) else labels_subset(labels)
+    return acl_any(f.get(ACL_ALIASES[0]), acl_enabled) & of_labels & clearance(f.get(LEVEL_ALIASES[0]))
+
+
+def asked_for(filters: Mapping[str, object]) -> Column:
+    """The metadata predicates of a query, without snapshot and access."""
+    f = normalized(filters)
+    out = F.lit(True)
+    for key in ("repo", "branch", "owner_id", "source_system_id", "file_type"):
+        out = out & equals(key, f.get(key))
+    kinds = f.get("data_type")
+    return out & F.col("data_type").isin(kinds if isinstance(kinds, list) else [kinds]) if kinds else out
+
+
 def scope(filters: Mapping[str, object], acl_enabled: bool = True, allow_unlabeled: bool = True) -> Column:
     """All predicates that go before ranking, in one conjunction that Catalyst pushes to the scan."""
     f = normalized(filters)
-    kinds = f.get("data_type")
-    out = in_snapshot(f.get("snapshot_id")) & equals("repo", f.get("repo")) & equals("branch", f.get("branch"))
-    out = out & equals("owner_id", f.get("owner_id")) & equals("source_system_id", f.get("source_system_id")) & equals("file_type", f.get("file_type"))
-    if kinds:
-        out = out & F.col("data_type").isin(kinds if isinstance(kinds, list) else [kinds])
-    return out & acl_any(f.get(ACL_ALIASES[0]), acl_enabled) & labels_any(f.get(LABEL_ALIASES[0]), allow_unlabeled) & clearance(f.get(LEVEL_ALIASES[0]))
+    before = in_snapshot(f.get("snapshot_id")) & asked_for(f)
+    return before & acl_any(f.get(ACL_ALIASES[0]), acl_enabled) & labels_any(f.get(LABEL_ALIASES[0]), allow_unlabeled) & clearance(f.get(LEVEL_ALIASES[0]))
 
 
 def ref_is(ref: str) -> Column:

@@ -61,16 +61,22 @@ def one_scope(seeds: DataFrame) -> DataFrame:
     return out.withColumn("consistent", (F.col("n_repos") <= 1) & (F.col("n_snapshots") <= 1))
 
 
-def expand(edges: DataFrame, seeds: list[str], max_depth: int = 2, max_nodes: int = 200, allowlist: Iterable[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def expand(edges: DataFrame, seeds: list[str], max_depth: int = 2, max_nodes: int = 200, allowlist: Iterable[str] | None = None, visible: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first from seeds over edges (src, dst, edge_type): nodes (node, depth, parent, root, place) and edges met.
 
     Seeds are all returned even above max_nodes; nodes at max_depth are not expanded; edges to known nodes are returned
-    too; expansion stops when max_nodes are known. The first parent in order wins.
+    too; expansion stops when max_nodes are known. The first parent in order wins. With visible (canonical_id), nodes that are
+    not among them are not there: no seed, no target, no way to others, and they take no place under max_nodes.
     """
     spark = edges.sparkSession
     allowed = edges.where(type_allowed(allowlist)).select("src", "dst", "edge_type")
     known: dict[str, tuple[int, str | None, str, int]] = {}
-    for s in strings(seeds):
+    seeds = strings(seeds)
+    if visible is not None:
+        visible = visible.select(F.col("canonical_id").alias("dst")).distinct()
+        seen = {r.dst for r in visible.where(F.col("dst").isin(seeds)).collect()}  # some of the seeds
+        seeds = [s for s in seeds if s in seen]
+    for s in seeds:
         known.setdefault(s, (0, None, s, len(known)))
     met: list[tuple[str, str, str]] = []
     frontier = list(known)
@@ -81,7 +87,10 @@ def expand(edges: DataFrame, seeds: list[str], max_depth: int = 2, max_nodes: in
         # Hubs: of a parent's targets, only the first max_nodes + known are fetched, each with all its edges, so that targets
         # already known can't crowd out new ones.
         order = Window.partitionBy("src").orderBy("dst")
-        step = allowed.join(F.broadcast(table), "src").withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= max_nodes + len(known)).orderBy("at", "dst", "edge_type")
+        step = allowed.join(F.broadcast(table), "src")
+        if visible is not None:
+            step = step.join(visible, "dst", "left_semi")
+        step = step.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= max_nodes + len(known)).orderBy("at", "dst", "edge_type")
         fresh: list[str] = []
         full = False
         last = None

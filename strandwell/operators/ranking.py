@@ -6,10 +6,11 @@ rounded to six places before ranking and ties broken by doc_id, so ranks are the
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,10 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 MISSING_RANK = 10**9
 TOKEN = r"[a-z0-9_]+"
-QUERY_BLOCK = 1024  # query vectors held at once
-ROW_BLOCK = 4096
+QUERY_BYTES = 32 << 20  # query vectors that are broadcast
+QUERY_BLOCK = 512  # query vectors of a block
+ROW_BLOCK = 8192
+SCORES_HELD = 1 << 21
 
 
 def tokens(text: str | Column) -> Column:
@@ -43,20 +46,28 @@ def bm25_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.size(tokens("text")).alias("dl")).where("dl > 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, operator: str = "or", keep: Column | None = None, columns: tuple[str, ...] = ("text",)) -> DataFrame:
-    """Okapi BM25 of (query_id, query) over docs; corpus statistics over all docs, keep filters what may be returned.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, operator: str = "or", keep: Column | None = None, columns: tuple[str, ...] = ("text",), part: str | None = None) -> DataFrame:
+    """Okapi BM25 of (query_id, query) over docs; statistics over all docs, keep filters what may be returned.
 
-    operator "and" asks for every query term. Only postings of query terms are kept before anything is shuffled.
+    operator "and" asks for every query term. Only postings of query terms are kept before anything is shuffled. With part, a
+    column of docs and queries, each part is a corpus of its own with statistics of its own, all in one plan.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    all_posts = postings(docs, columns).join(terms.select("term").distinct(), "term", "left_semi")
-    stats = docs.select(F.size(tokens(F.concat_ws(" ", *columns))).alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).first()
-    df = all_posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(stats.avg_dl or 1.0))))
-    if keep is not None:
-        all_posts = all_posts.join(docs.where(keep).select("doc_id"), "doc_id", "left_semi")
-    hits = terms.join(all_posts, "term").join(df, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count("*").alias("matched"))
+    by = [part] if part else []
+    terms = queries.select("query_id", *by, F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    words = docs.select("doc_id", *by, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("kept"), tokens(F.concat_ws(" ", *columns)).alias("w")).withColumn("dl", F.size("w").cast("long"))
+    stats = words.where("dl > 0").groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    each = words.select("doc_id", *by, "kept", "dl", F.explode("w").alias("term")).join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+    posts = each.groupBy("doc_id", *by, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("kept").alias("kept"))
+    df = posts.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    found = terms.join(posts.where("kept"), [*by, "term"]).join(df, [*by, "term"])
+    if part:
+        found, n, avg = found.join(stats, part), F.col("n"), F.col("avg_dl")
+    else:
+        one = stats.first()
+        n, avg = F.lit(float(one.n)), F.lit(float(one.avg_dl or 1.0))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
+    hits = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count("*").alias("matched"))
     if operator == "and":
         need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
         hits = hits.join(need, "query_id").where("matched = need")
@@ -74,35 +85,109 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """Exact cosine top-k of (query_id, vector) against all rows (doc_id, vector): block by block, each a matrix product
-    that leaves k rows a query, so what is shuffled is (row blocks x k) a query and never all pairs."""
-    n = queries.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    q = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb"))
-    row_blocks = max(1, math.ceil(rows.count() / ROW_BLOCK))
-    spread = rows.select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.pmod(F.xxhash64("doc_id"), F.lit(row_blocks)).alias("rb")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    wide = q.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))
+def _kept_best(best: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query number, score, id) arrays the k best of each query, by score, then id."""
+    at, score, ids = best
+    order = np.lexsort((ids, -score, at))
+    at, score, ids = at[order], score[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return [a[rank < k] for a in (at, score, ids)]
+
+
+def _scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosines; q is of length one already."""
+    return np.round(q @ (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)).T, 6)
+
+
+def _unit_rows(vectors) -> np.ndarray:
+    a = np.stack([np.asarray(v, np.float64) for v in vectors])
+    return a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+
+
+def vector_search(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, part: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Exact cosine top-k of (query_id, vector) against all rows (doc_id, vector); with part, a column of both, within each part.
+
+    Query vectors of at most query_bytes in all, which is measured first, are broadcast: every task keeps k rows a query, and no
+    vector is shuffled. More of them meet the rows block by block, each a matrix product that leaves k rows a query.
+    """
+    size = queries.agg(F.sum(F.size("vector") * F.lit(8).cast("long")).alias("b")).first().b or 0
     out = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
+    hits = _against_broadcast(rows, queries, k, exclude_self, part, out) if size <= query_bytes else _by_blocks(rows, queries, k, exclude_self, part, out)
+    return top_k(hits, k)
+
+
+def _against_broadcast(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool, part: str | None, out: str) -> DataFrame:
+    given = queries.collect()  # at most query_bytes of vectors
+    if not given:
+        return rows.sparkSession.createDataFrame([], out)
+    names = np.array([r.query_id for r in given])
+    shared = rows.sparkSession.sparkContext.broadcast((names, np.array([r[part] for r in given]) if part else None, _unit_rows([r.vector for r in given])))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, parts, q = shared.value
+        least = np.full(len(names), -np.inf)
+        kept: list[np.ndarray] = []
+        kinds = ()
+        for batch in batches:
+            kinds = (batch.schema.field("doc_id").type,)
+            step = max(1, SCORES_HELD // len(names))
+            for i in range(0, batch.num_rows, step):
+                piece = batch.slice(i, step)
+                ids = np.array(piece.column("doc_id").to_pylist())
+                vectors = piece.column("vector")
+                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                scores = _scores(q, flat.reshape(len(ids), -1))
+                if exclude_self:
+                    scores[names[:, None] == ids[None, :]] = -np.inf
+                if parts is not None:
+                    scores[parts[:, None] != np.array(piece.column(part).to_pylist())[None, :]] = -np.inf
+                at, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+                new = [at, scores[at, col], ids[col]]
+                kept = _kept_best([np.concatenate(x) for x in zip(kept, new)] if kept else new, k)
+                full = np.bincount(kept[0], minlength=len(names)) >= k
+                worst = np.full(len(names), np.inf)
+                np.minimum.at(worst, kept[0], kept[1])
+                least = np.where(full, worst, -np.inf)
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(names[kept[0]].tolist()), pa.array(kept[2].tolist(), kinds[0]), pa.array(kept[1])], names=["query_id", "doc_id", "score"])
+
+    return rows.where("vector IS NOT NULL").select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), *([part] if part else [])).mapInArrow(best, out)
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool, part: str | None, out: str) -> DataFrame:
+    by = [part] if part else []
+    wanted = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), *by)
+    held = rows.where("vector IS NOT NULL").select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), *by)
+    if part:
+        sizes = queries.groupBy(part).agg(F.count("*").alias("nq")).join(rows.groupBy(part).agg(F.count("*").alias("nr")), part)
+        wanted, held = wanted.join(sizes, part), held.join(sizes, part)
+    else:
+        sizes = {"nq": F.lit(queries.count()), "nr": F.lit(rows.count())}
+        wanted, held = wanted.withColumns(sizes), held.withColumns(sizes)
+    q_blocks, r_blocks = F.ceil(F.col("nq") / QUERY_BLOCK), F.ceil(F.col("nr") / ROW_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    wanted = wanted.select("query_id", "vector", *by, F.pmod(F.xxhash64("query_id"), q_blocks).alias("qb"), each(r_blocks).alias("rb"))
+    held = held.select("doc_id", "vector", *by, F.pmod(F.xxhash64("doc_id"), r_blocks).alias("rb"), each(q_blocks).alias("qb"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []}).astype({"query_id": left["query_id"].dtype, "doc_id": right["doc_id"].dtype})
-        a, b = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
-        a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-        b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
-        scores, ids, found = np.round(a @ b.T, 6), right["doc_id"].to_numpy(), []
-        for i, name in enumerate(left["query_id"]):
-            s = scores[i]
-            if exclude_self:
-                s = np.where(ids == name, -np.inf, s)
-            order = np.lexsort((ids, -s))[:k]
-            order = order[np.isfinite(s[order])]
-            found.append(pd.DataFrame({"query_id": name, "doc_id": ids[order], "score": s[order]}))
-        return pd.concat(found, ignore_index=True)
-
-    hits = wide.groupBy("qb", "rb").cogroup(spread.groupBy("qb", "rb")).applyInPandas(best, out)
-    return top_k(hits, k)
+            return pd.DataFrame({"query_id": left["query_id"][:0], "doc_id": right["doc_id"][:0], "score": np.zeros(0)})
+        names, ids = left["query_id"].to_numpy(), np.array(right["doc_id"].tolist())
+        scores = _scores(_unit_rows(left["vector"]), np.stack(right["vector"].to_numpy()))
+        if exclude_self:
+            scores[names[:, None] == ids[None, :]] = -np.inf
+        at = np.repeat(np.arange(len(names)), min(k * 4, len(ids)))
+        col = np.argpartition(-scores, min(k * 4, len(ids)) - 1, axis=1)[:, : k * 4].ravel()
+        cut = np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        tied = (-scores <= cut[:, None]).sum(1) > min(k * 4, len(ids))  # more equal scores at the end than were taken
+        if tied.any():
+            at, col = np.nonzero(-scores <= cut[:, None])
+        at, score, ids = _kept_best([at, scores[at, col], ids[col]], k)
+        good = np.isfinite(score)
+        return pd.DataFrame({"query_id": names[at[good]], "doc_id": ids[good], "score": score[good]})
+
+    return wanted.groupBy(*by, "qb", "rb").cogroup(held.groupBy(*by, "qb", "rb")).applyInPandas(best, out)
 
 
 def rrf(a: DataFrame, b: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
@@ -166,10 +251,13 @@ def resolved_search_type(payload: str | None, prefix: str | None, step: str | No
     raise ValueError("no search_type was given")
 
 
-def search(mode: str, docs: DataFrame, queries: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, k: int, rrf_k: int = RRF_K, widen: int = 2) -> DataFrame:
+def search(
+    mode: str, docs: DataFrame, queries: DataFrame, vectors: DataFrame | None, query_vectors: DataFrame | None, k: int, rrf_k: int = RRF_K, widen: int = 2,
+    operator: str = "or", keep: Column | None = None, columns: tuple[str, ...] = ("text",), part: str | None = None,
+) -> DataFrame:
     """One entry for all modes; hybrid fuses lists of widen*k and takes a single list if the other is empty. Unknown: semantic."""
     if mode == "bm25":
-        return bm25(docs, queries, k)
+        return bm25(docs, queries, k, operator, keep, columns, part)
     if mode == "hybrid":
-        return rrf(vector_search(vectors, query_vectors, k * widen), bm25(docs, queries, k * widen), k, rrf_k)
-    return vector_search(vectors, query_vectors, k)
+        return rrf(vector_search(vectors, query_vectors, k * widen, part=part), bm25(docs, queries, k * widen, operator, keep, columns, part), k, rrf_k)
+    return vector_search(vectors, query_vectors, k, part=part)

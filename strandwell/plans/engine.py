@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwell.functions import markup
@@ -48,6 +48,7 @@ class State:
     question: str
     filters: dict = field(default_factory=dict)
     permissions: set = field(default_factory=set)
+    session_id: str = ""
     question_neutral: str = ""
     last_answer: str = ""
     final_answer: str = ""
@@ -124,9 +125,25 @@ def send(state: State, target: str, topic: str, payload: object = None) -> None:
     state.trace.append({"event_type": "ENQUEUE", "step": target, "topic": topic})
 
 
+#: Fields of a node that keyword search reads beside its text.
+NODE_FIELDS = ("repo_relative_path", "source_file", "project_name", "class_name", "member_name", "symbol_type", "signature", "sql_kind", "sql_schema", "sql_name")
+
+
+def _snapshots(state: State, asked: dict | None = None) -> list[str]:
+    """The snapshots a step works in: the plan's, else the one of the filters. Without any there is nothing to be seen."""
+    return state.plan or filters.strings((asked or state.filters).get("snapshot_id"))
+
+
+def visible_nodes(rt: Runtime, state: State, settings: dict, asked: dict | None = None) -> DataFrame:
+    """The node rows of the step's snapshots that the asker may see. Every step reads nodes through this."""
+    access = filters.may_see(asked or state.filters, settings.get("acl_enabled", True), settings.get("label_universe"))
+    return rt.nodes.where(F.col("snapshot_id").isin(_snapshots(state, asked)) & access)
+
+
 @action("search_nodes")
 def search_nodes(step: Step, state: State, rt: Runtime, settings: dict) -> str | None:
-    """Filtered top-k of nodes; every snapshot of a plan ranked on its own in one job. Older context stays."""
+    """Filtered top-k of nodes, over text and NODE_FIELDS. Every snapshot is a corpus of its own with its own statistics; all are one
+    plan, with the snapshot as the query's id. Older context stays."""
     request = json.loads(markup.query_payload(state.last_answer or state.question_neutral))
     mode = ranking.resolved_search_type(request.get("search_type"), state.search_type, step.raw.get("search_type"), settings.get("default_search_method", "bm25"))
     k = ranking.resolved_top_k(step.raw.get("top_k"), settings.get("top_k", 5), request.get("top_k"))
@@ -134,46 +151,43 @@ def search_nodes(step: Step, state: State, rt: Runtime, settings: dict) -> str |
     query = request["query"] or state.question_neutral
     state.asked.add(" ".join(query.lower().split()))
     asked = filters.merged(request.get("filters", {}), state.filters)
-    ids = state.plan or filters.strings(asked.get("snapshot_id"))
+    ids = _snapshots(state, asked)
     if not ids:
         raise ValueError("a snapshot_id is required")
-    labels = filters.strings(asked.get(filters.LABEL_ALIASES[0]))
-    hits = None
-    for sid in ids:
-        seen = rt.nodes.where(filters.scope({**asked, "snapshot_id": sid}))
-        docs = seen.groupBy(F.col("canonical_id").alias("doc_id")).agg(F.max("text").alias("text"), F.max("classification_labels").alias("classification_labels"))
-        one = rt.spark.createDataFrame([(sid, query)], "query_id string, query string")
-        if mode == "bm25" or rt.embed is None:
-            found = ranking.bm25(docs, one, wide, step.raw.get("match_operator", "or"))
-        else:
-            q = rt.spark.createDataFrame([(sid, [float(x) for x in rt.embed(query)])], "query_id string, vector array<double>")
-            rows = seen.where("embedding IS NOT NULL").groupBy(F.col("canonical_id").alias("doc_id")).agg(F.max("embedding").alias("vector"))
-            found = ranking.search(mode, docs, one, rows, q, wide, int(settings.get("rrf_k", 60)))
-        found = ranking.widened(found.select("query_id", "doc_id", "score", "rank"), k)
-        if labels:
-            found = found.join(docs.select("doc_id", "classification_labels"), "doc_id").where(filters.labels_subset(labels)).select("query_id", "doc_id", "score", "rank")
-        hits = found if hits is None else hits.unionByName(found)
-    state.hits = hits
-    state.seeds = [r.doc_id for r in hits.orderBy("query_id", "rank").collect()]  # at most k a snapshot
+    access = filters.may_see(asked, settings.get("acl_enabled", True), settings.get("label_universe"))
+    columns = ("text", *[c for c in NODE_FIELDS if c in rt.nodes.columns])
+    rows = rt.nodes.where(F.col("snapshot_id").isin(ids) & F.col("canonical_id").isNotNull())
+    docs = rows.groupBy("snapshot_id", F.col("canonical_id").alias("doc_id")).agg(*[F.max(c).alias(c) for c in columns], F.max(access & filters.asked_for(asked)).alias("visible"))
+    queries = rt.spark.createDataFrame([(sid, sid, query) for sid in ids], "query_id string, snapshot_id string, query string")
+    vectors = query_vectors = None
+    if mode != "bm25" and rt.embed is not None:
+        asking = [float(x) for x in rt.embed(query)]
+        query_vectors = rt.spark.createDataFrame([(sid, sid, asking) for sid in ids], "query_id string, snapshot_id string, vector array<double>")
+        vectors = rows.where(access & filters.asked_for(asked) & F.col("embedding").isNotNull()).groupBy("snapshot_id", F.col("canonical_id").alias("doc_id")).agg(F.max("embedding").alias("vector"))
+    else:
+        mode = "bm25"
+    found = ranking.search(mode, docs, queries, vectors, query_vectors, wide, int(settings.get("rrf_k", 60)), 2, step.raw.get("match_operator", "or"), F.col("visible"), columns, "snapshot_id")
+    state.hits = ranking.widened(found.select("query_id", "doc_id", "score", "rank"), k)
+    place = {sid: n for n, sid in enumerate(ids)}
+    state.seeds = [r.doc_id for r in sorted(state.hits.collect(), key=lambda r: (place[r.query_id], r["rank"]))]  # at most k a snapshot
     return None
 
 
 @action("expand_dependency_tree")
 def expand_dependency_tree(step: Step, state: State, rt: Runtime, settings: dict) -> str | None:
+    """Around the seeds, over visible nodes only: what lies behind a hidden node is not reached."""
     if not state.seeds or rt.edges is None:
         return None
     depth = step_setting(step, settings, "graph_max_depth", int, 2)
-    nodes, edges = graph.expand(graph.clean_edges(rt.edges), state.seeds, depth, step_setting(step, settings, "graph_max_nodes", int, 200), settings.get("graph_edge_allowlist"))
-    seen = rt.nodes.where(filters.scope({**state.filters, "snapshot_id": state.filters.get("snapshot_id") or (state.plan or [""])[0]})) if state.filters.get("snapshot_id") else rt.nodes
-    visible = seen.select(F.col("canonical_id").alias("node")).distinct()
-    state.graph_nodes = nodes.join(visible, "node", "left_semi")
-    state.graph_edges = edges.join(visible.withColumnRenamed("node", "src"), "src", "left_semi").join(visible.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    visible = visible_nodes(rt, state, settings).select("canonical_id")
+    state.graph_nodes, state.graph_edges = graph.expand(graph.clean_edges(rt.edges), state.seeds, depth, step_setting(step, settings, "graph_max_nodes", int, 200), settings.get("graph_edge_allowlist"), visible)
     return None
 
 
 @action("fetch_node_texts")
 def fetch_node_texts(step: Step, state: State, rt: Runtime, settings: dict) -> str | None:
-    """Texts of seeds and graph nodes in the step's order, as many as the budget takes; a larger one is skipped."""
+    """Texts of seeds and graph nodes that the asker may see, in the step's order (seed_first, graph_first, balanced), as many as the
+    budget takes; a larger one is skipped."""
     cap = context.budget_tokens(step.raw.get("max_chars"), step.raw.get("budget_tokens"), step_setting(step, settings, "max_context_tokens", int, 4000))
     if not state.seeds:
         state.node_texts = []
@@ -181,13 +195,12 @@ def fetch_node_texts(step: Step, state: State, rt: Runtime, settings: dict) -> s
     seeds = rt.spark.createDataFrame([("r", s, n) for n, s in enumerate(state.seeds, 1)], "request string, node string, rank int")
     order = seeds.select("request", "node", F.col("rank").alias("place"))
     if state.graph_nodes is not None:
-        rest = state.graph_nodes.select(F.lit("r").alias("request"), "node", "depth")
-        if step.raw.get("mode") == "balanced":
-            w = Window.partitionBy("request").orderBy("depth", "node")
-            order = context.interleaved(seeds, rest.join(seeds.select("node"), "node", "left_anti").select("request", "node", F.row_number().over(w).alias("rank")), "request").select("request", "node", "place")
-        else:
-            order = context.seeds_then_rest(seeds, rest, "request", "node").select("request", "node", "place")
-    texts = rt.nodes.join(F.broadcast(order.select(F.col("node").alias("canonical_id"))), "canonical_id", "left_semi").groupBy(F.col("canonical_id").alias("node")).agg(F.max("text").alias("text"))
+        rest = state.graph_nodes.select(F.lit("r").alias("request"), "node", "depth").join(seeds.select("node"), "node", "left_anti")
+        arrange = {"balanced": context.balanced, "graph_first": context.rest_then_seeds}.get(step.raw.get("mode"), context.seeds_then_rest)
+        order = arrange(seeds, rest, "request", "node").select("request", "node", "place")
+    # The order has at most the seeds and max_nodes rows.
+    wanted = F.broadcast(order.select(F.col("node").alias("canonical_id")))
+    texts = visible_nodes(rt, state, settings).join(wanted, "canonical_id", "left_semi").groupBy(F.col("canonical_id").alias("node")).agg(F.max("text").alias("text"))
     items = order.join(texts, "node").withColumn("tokens", context.approx_tokens("text"))
     state.node_texts = [r.asDict() for r in context.greedy_fit(items, "request", "place", "tokens", cap).orderBy("place").collect()]  # within the budget
     return None
@@ -296,9 +309,11 @@ def inbox_dispatcher(step: Step, state: State, rt: Runtime, settings: dict) -> s
 
 @action("load_conversation_history")
 def load_conversation_history(step: Step, state: State, rt: Runtime, settings: dict) -> str | None:
-    if rt.history is None:
+    """The session's last finalized turns, history_limit of them; without a session there is no history."""
+    if rt.history is None or not state.session_id:
         return None
-    rows = rt.history.where("finalized_at_utc IS NOT NULL").orderBy(F.desc("finalized_at_utc")).limit(30).collect()
+    mine = rt.history.where((F.col("session_id") == state.session_id) & F.col("finalized_at_utc").isNotNull())
+    rows = mine.orderBy(F.desc("finalized_at_utc"), F.desc("turn_id")).limit(step_setting(step, settings, "history_limit", int, 30)).collect()
     state.dialog = [(r.question_neutral, r.answer_neutral) for r in reversed(rows) if r.question_neutral and r.answer_neutral]
     return None
 

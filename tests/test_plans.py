@@ -47,6 +47,37 @@ def test_a_whole_run(spark):
         engine.run(p, engine.State("q"), engine.Runtime(spark, nodes, cancelled=lambda: True))
 
 
+def test_nothing_hidden_is_reached_or_read(spark):
+    def row(n, acl=None, labels=None, snap="s1"):
+        return (f"r::{snap}::cs::{n}", "i", "r", "main", snap, "regular_code", "cs", "", "", acl, labels, None, f"alpha {n}" if n in "ax" else n, None)
+
+    # a -> b (hidden) -> c; a -> d, which has an allowed and a forbidden label; a -> e; a -> f of another snapshot; h holds a null tag only
+    nodes = spark.createDataFrame([row("a"), row("b", ["hr"]), row("c"), row("d", None, ["public", "secret"]), row("e", ["dev"], ["public"]), row("f", None, None, "s2"), row("h", [None]), row("x", None, None, "s2"), row("x2", None, None, "s3")], NODE)
+    to = [("a", "b"), ("b", "c"), ("a", "d"), ("a", "e"), ("a", "h")]
+    edges = spark.createDataFrame([(f"r::s1::cs::{a}", f"r::s1::cs::{b}", "cs_dep") for a, b in to] + [("r::s1::cs::a", "r::s2::cs::f", "cs_dep")], "from_canonical_id string, to_canonical_id string, edge_type string")
+    steps = [{"id": "search", "action": "search_nodes", "next": "tree"}, {"id": "tree", "action": "expand_dependency_tree", "next": "fetch"}, {"id": "fetch", "action": "fetch_node_texts", "next": "end"}]
+    access = {"acl_tags_any": ["dev"], "classification_labels_all": ["public"]}
+    p = loader.build({"name": "p", "settings": {"default_search_method": "bm25", "top_k": 2}, "steps": steps})
+    state = engine.run(p, engine.State("alpha", {"snapshot_id": "s1", **access}), engine.Runtime(spark, nodes, edges))
+    assert [t["text"] for t in state.node_texts] == ["alpha a", "e"]
+    assert sorted((r.src[-1], r.dst[-1]) for r in state.graph_edges.collect()) == [("a", "e")]
+    fork = loader.build({"name": "p", "settings": {"default_search_method": "bm25", "top_k": 2}, "steps": [{"id": "fork", "action": "fork_action", "snapshots": ["s2", "s1"], "next": "search"}, *steps]})
+    state = engine.run(fork, engine.State("alpha", dict(access)), engine.Runtime(spark, nodes, edges))
+    assert state.seeds == ["r::s2::cs::x", "r::s1::cs::a"]
+    assert [t["text"] for t in state.node_texts] == ["alpha x", "alpha a", "e", "f"]
+    state.seeds = ["r::s1::cs::b", "r::s3::cs::x2"]  # names do not open what is hidden or in no snapshot of the plan
+    state.graph_nodes = None
+    engine.ACTIONS["fetch_node_texts"](fork.steps["fetch"], state, engine.Runtime(spark, nodes, edges), fork.settings)
+    assert state.node_texts == []
+
+
+def test_history_is_the_sessions_own(spark):
+    turns = spark.createDataFrame([("t1", "s", "q1", "a1", "2025-01-01"), ("t2", "s", "q2", "a2", "2025-01-02"), ("t3", "other", "q3", "a3", "2025-01-03")], "turn_id string, session_id string, question_neutral string, answer_neutral string, finalized_at_utc string")
+    p = loader.build({"name": "p", "settings": {}, "steps": [{"id": "h", "action": "load_conversation_history", "next": "end"}]})
+    for session, want in (("s", [("q1", "a1"), ("q2", "a2")]), ("", [])):
+        assert engine.run(p, engine.State("q", session_id=session), engine.Runtime(spark, turns, history=turns)).dialog == want
+
+
 def test_bundle_and_tables(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b/repo_meta.json").write_text(json.dumps({"RepoName": "r", "HeadSha": "h"}))
