@@ -1,15 +1,19 @@
 """Credentials embedded in code and settings (problem 7): found across the corpus and redacted in place.
 
-1. Literals in credential-like places are indexed over all distinct texts: values under telling names, in connection
-   strings, URLs, headers and comments, and values whose form alone tells (key blocks, signed tokens, prefixed keys).
-2. The owners (repositories) of each value are counted over the whole corpus; a value without a telling form that very
-   many owners hold is a shared placeholder and is suppressed. References, masks, hashes and words never enter the index.
-3. What remains is confirmed, and every text is scanned again with an Aho-Corasick automaton of the confirmed values, so
-   that a secret is also found where nothing around it gives it away.
-
-The automaton is broadcast only in shards of at most AUTOMATON_VALUES values; more confirmed values mean more shards,
-each scanned over all texts, so none is left out. Values written in pieces (concatenated literals, character and byte
-arrays, key blocks over several lines) are reported where they begin, straight from the index.
+1. Every literal in a place that may hold a credential is indexed over all distinct texts, whatever it looks like: values
+   under telling names, in connection strings, URLs, headers and comments, and values whose form alone tells (key blocks,
+   signed tokens, prefixed keys). The index has places and digests of values, not the values.
+2. The owners (repositories) of each value are counted over the whole corpus, and values that many owners share are
+   placeholders: MOST_OWNERS for values of some strength, FEW_OWNERS for weak ones.
+3. Of the rare ones those are confirmed that are structured as a value of their place is: no reference, mask, hash, path,
+   sentence or plain word, and mixed enough; a token's place asks for more than a password's.
+4. Every text is scanned again with an Aho-Corasick automaton of the confirmed values, so that a secret is also found where
+   nothing around it gives it away. Up to AUTOMATON_VALUES values, which are counted first, are one automaton that is
+   broadcast. More of them are joined with the texts that hold their anchor (the longest pair of neighbouring runs of
+   letters and digits, or the only run), and each batch of texts gets the automaton of its own values. Both are exact.
+
+Values written in pieces (concatenated literals, character and byte arrays, key blocks over several lines) are reported
+where they begin, straight from the index.
 
 Redaction replaces each character of a value by `*`, keeping quotes, line ends and all else, so lines and columns stay.
 
@@ -20,9 +24,10 @@ in full and does not count; overlapping finds are one place; empty tables give e
 from __future__ import annotations
 
 import base64
-from functools import cache
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -32,9 +37,10 @@ from pyspark.sql import functions as F
 from strandwell.records import id_parts, valid_rows
 from strandwell.session import materialize
 
-MOST_OWNERS = 6, 0.5  # a formless value of more repositories than this number and this share of all is a placeholder
+MOST_OWNERS = 6, 0.5  # a value of more repositories than this number and this share of all is a placeholder
+FEW_OWNERS = 3, 0.25  # the same for weak values
 CONTEXT = 1200  # characters on each side of a joined literal in which a telling word counts
-AUTOMATON_VALUES = 100_000  # values in one automaton
+AUTOMATON_VALUES = 100_000  # values that are broadcast as one automaton
 
 _NAME = r"(?:passw(?:or)?d|passwd|passphrase|pwd|secret|api[_-]?key|apikey|access[_-]?key|account[_-]?key|shared[_-]?(?:access[_-]?)?key|signing(?:[_-]?key)?|private[_-]?key|encryption[_-]?key|validationkey|decryptionkey|token|bearer|smtppass|(?<=[_-])pass\b|(?:db|user|smtp|ftp)pass|kennwort|has[łl]o|heslo|senha|contrase[ñn]a|mot de passe|пароль|credentials?|\bauth\b)"
 _QUOTED = r"(?:\"((?:\\.|[^\"\\\r\n]){4,}+)\"|'((?:\\.|''|[^'\\\r\n]){4,})'|`([^`\r\n]{4,}+)`)"
@@ -56,10 +62,7 @@ _CHARS = re.compile(r"(?i)(?<!\w)(\w*" + _NAME + r"\w*)\s*=[^\r\n;]{0,60}\{\s*((
 _BYTES = re.compile(r"(?i)(?<!\w)(\w*(?:key|secret|password|token)\w*)\s*=\s*(?:new\s+byte\[\d*\]\s*)?\{\s*((?:0x[0-9a-f]{2}\s*,?\s*){12,})\}")
 _JOINED = re.compile(r"\"([^\"\\\r\n]{2,}+)\"(?:\s*[+&]\s*\"([^\"\\\r\n]{2,}+)\")+")
 _TELLING = re.compile(r"(?i)" + _NAME + r"|access key")
-_REFERENCE = re.compile(r"\$\{|\$\(|\{\{|\}\}|^\{|<[^>]*>|^%[\w.]+%$|\bvault\b|^kv/|secrets?[/.]|env[.(\[]|\bgetenv|config[.\[]|^\$|^@|^arn:|process\.|os\.environ|\{\d+\}", re.I)
-_DUMMY = re.compile(
-    r"(?i)^(?:x{4,}|\*{3,}|\.{3,}|-{3,}|\?{3,}|0+|1234\d*|change.?me\S*|replace.?me\S*|your[-_ ]?\S*|my[-_]?(?:secret|password|token)\S*|<.*>|\[.*\]|redacted\S*|masked|hidden|removed|secret|password\d{0,4}!?|passw0rd!?|p@ssw0rd\d*!?|example\S*|sample\S*|dummy\S*|placeholder\S*|todo\S*|tbd|none|null|nil|true|false|undefined|string|test|default|admin|root|insert[-_ ]\S*|put[-_ ]\S*|enter[-_ ]\S*|fill[-_ ]?\S*|not[-_ ]?set|unset)$"
-)
+_REFERENCE = re.compile(r"\$\{|\#\{|\$\(|\{\{|\}\}|^\{|<[^>]*>|^%[\w.]+%$|\bvault\b|^kv/|secrets?[/.]|env[.(\[]|\bgetenv|config[.\[]|^\$|^@|^arn:|process\.|os\.environ|\{\d+\}", re.I)
 _HASHED = re.compile(r"(?i)^(?:sha(?:1|256|384|512)[-:]|md5[-:]|\$2[aby]\$|\$argon2|\$6\$|pbkdf2|\{ssha\}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$)")
 _HASH_NAME = re.compile(r"(?i)hash|sha\d|md5|digest|checksum|integrity|publickey|public[_-]key|thumbprint|salt|token(?:id|izer|type|name|url|count|length|endpoint|expiry|lifetime|path|field)|secretname|secret[_-]?id|(?:key|secret|password|token)[_-]?(?:name|path|id|file|ref|url|policy|length|hint|label)\b")
 _MASK = re.compile(r"\*{3,}|x{6,}|X{6,}|\.{3}|…|•{3,}")
@@ -72,8 +75,8 @@ def classes(v: str) -> int:
 
 
 def is_password(v: str) -> bool:
-    """A literal that can be a password: no reference, mask, word, path or sentence."""
-    if len(v) < 6 or _REFERENCE.search(v) or _DUMMY.match(v) or _MASK.search(v) or _HASHED.match(v) or _PATHLIKE.search(v):
+    """Structured as a password: no reference, mask, word, path or sentence."""
+    if len(v) < 6 or _REFERENCE.search(v) or _MASK.search(v) or _HASHED.match(v) or _PATHLIKE.search(v):
         return False
     if v[-1] in ":([{," or _CAMEL.match(v):
         return False
@@ -81,18 +84,37 @@ def is_password(v: str) -> bool:
 
 
 def is_random(v: str) -> bool:
-    """A literal that can be a token: long, mixed and not made of words."""
-    if len(v) < 16 or _REFERENCE.search(v) or _DUMMY.match(v) or _MASK.search(v) or _HASHED.match(v) or re.search(r"\s", v):
+    """Structured as a token: long, mixed and not made of words."""
+    if len(v) < 16 or _REFERENCE.search(v) or _MASK.search(v) or _HASHED.match(v) or re.search(r"\s", v):
         return False
     if _PATHLIKE.search(v) and not re.search(r"[A-Z].*\d|\d.*[A-Z]", v):
         return False
     return any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and len(set(v)) >= 9
 
 
-def _fits(name: str, v: str) -> bool:
+def strength(v: str, place: str) -> int:
+    """0 without the structure of its place, 1 weak, 2 strong. Places: password, token, either, basic, hash, told."""
+    if place == "hash":
+        return 0
+    if place == "told":
+        return 2
+    if place == "basic":
+        try:
+            user, _, v = base64.b64decode(v, validate=True).decode().partition(":")
+        except ValueError:
+            return 0
+        place = "password" if user else "hash"
+    if place == "token":
+        return 2 * is_random(v)
+    if place == "either" and v.endswith("=") and is_random(v):
+        return 2
+    return is_password(v) * (2 if classes(v) >= 3 and any(c.isdigit() for c in v) else 1)
+
+
+def _place(name: str) -> str:
     if _HASH_NAME.search(name):
-        return False
-    return is_random(v) if re.search(r"(?i)token|key|bearer|signing|auth", name) and not re.search(r"(?i)pass|pwd", name) else is_password(v)
+        return "hash"
+    return "token" if re.search(r"(?i)token|key|bearer|signing|auth", name) and not re.search(r"(?i)pass|pwd", name) else "password"
 
 
 TRIGGERS = (
@@ -115,21 +137,21 @@ def _triggers() -> ahocorasick.Automaton:
 _VALUE = re.compile(r"[^\s'\"=:,;(){}\[\]]{6}|'.'\s*,|0x")
 
 
-def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """(from, to, value, form): places that may hold a credential; value is empty where it is not one piece of text.
+def indexed(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(from, to, value, form, place): every place that may hold a credential; value is empty where it is not one piece of text.
 
     Only lines with trigger words are looked at closely, each once and whole, so a value of any length is met in full.
     """
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case is longer
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    found: set[tuple[int, int, str, str]] = set()
+    found: set[tuple[int, int, str, str, str]] = set()
     done = -1
     for at, size in _triggers().iter(low):
         if text.startswith("-----BEGIN ", at - size + 1) and (m := _BLOCK.match(text, at - size + 1)):
             body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", m.group(2))
             if len(set(body)) > 12 and "..." not in m.group(2):
-                found.add((m.start(), m.end(), "", "block"))
+                found.add((m.start(), m.end(), "", "block", "told"))
         if at < done:
             continue
         begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
@@ -137,68 +159,68 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         done = end
         line = text[begin:end]
         if _VALUE.search(line):
-            found.update((begin + s, begin + e, v, form) for s, e, v, form in _in_line(line))
+            found.update((begin + s, begin + e, v, form, place) for s, e, v, form, place in _in_line(line))
     return sorted(found)
 
 
-def _in_line(line: str) -> Iterator[tuple[int, int, str, str]]:
+def candidates(text: str) -> list[tuple[int, int, str, str]]:
+    """(from, to, value, form) of the indexed places with the structure of a credential, whoever else holds their values."""
+    return sorted({(s, e, v, form) for s, e, v, form, place in indexed(text) if strength(v, place)})
+
+
+def _in_line(line: str) -> Iterator[tuple[int, int, str, str, str]]:
     for m in _FORM.finditer(line):
         if not re.search(r"EXAMPLE|example", m.group()) and len(set(m.group()[8:])) >= 8:
-            yield m.start(), m.end(), m.group(), "form"
+            yield m.start(), m.end(), m.group(), "form", "told"
     if "://" in line:
         for m in _URL.finditer(line):
-            if is_password(m.group(1)):
-                yield m.start(1), m.end(1), m.group(1), "named"
+            yield m.start(1), m.end(1), m.group(1), "named", "password"
     for m in _CONN.finditer(line):
-        if is_password(m.group(1)) or (m.group(1).endswith("=") and is_random(m.group(1))):
-            yield m.start(1), m.end(1), m.group(1), "named"
+        yield m.start(1), m.end(1), m.group(1), "named", "either"
     for rx in (_KEYED, _PLAIN, _XML):
         for m in rx.finditer(line):
             k = m.lastindex
-            if k > 1 and _fits(line[max(0, m.start(1) - 20) : m.start(1)].rsplit(" ", 1)[-1] + m.group(1), m.group(k)):
-                yield m.start(k), m.end(k), m.group(k), "named"
+            if k > 1:
+                name = line[max(0, m.start(1) - 20) : m.start(1)].rsplit(" ", 1)[-1] + m.group(1)
+                yield m.start(k), m.end(k), m.group(k), "named", _place(name)
     for rx in (_CALL, _SHELL, _NOTE):
         for m in rx.finditer(line):
             k = m.lastindex
             v = m.group(k).rstrip("\"';)") if rx is _NOTE else m.group(k)
-            if is_password(v) and not (rx is _NOTE and "(" in v):
-                yield m.start(k), m.start(k) + len(v), v, "named"
+            if not (rx is _NOTE and "(" in v):
+                yield m.start(k), m.start(k) + len(v), v, "named", "password"
     for m in _HEADER.finditer(line):
-        if is_random(m.group(1)):
-            yield m.start(1), m.end(1), m.group(1), "named"
+        yield m.start(1), m.end(1), m.group(1), "named", "token"
     for m in _BASIC.finditer(line):
-        try:
-            user, _, word = base64.b64decode(m.group(1), validate=True).decode().partition(":")
-        except ValueError:
-            continue
-        if user and is_password(word):
-            yield m.start(1), m.end(1), m.group(1), "named"
+        yield m.start(1), m.end(1), m.group(1), "named", "basic"
     if "'" in line and "{" in line:
         for m in _CHARS.finditer(line):
             if is_password("".join(re.findall(r"'(\\.|[^'\\])'", m.group(2)))):
-                yield m.start(2), m.end(2), "", "pieces"
+                yield m.start(2), m.end(2), "", "pieces", "told"
     if "0x" in line:
         for m in _BYTES.finditer(line):
             if len(set(re.findall(r"0x..", m.group(2)))) >= 8 and not _HASH_NAME.search(m.group(1)):
-                yield m.start(2), m.end(2), "", "pieces"
+                yield m.start(2), m.end(2), "", "pieces", "told"
     if "+" in line or "&" in line:
         for m in _JOINED.finditer(line):
             word = "".join(re.findall(r"\"([^\"\\\r\n]*)\"", m.group()))
             if _FORM.fullmatch(word) or (is_random(word) and _TELLING.search(line[max(0, m.start() - CONTEXT) : m.start()] + line[m.end() : m.end() + CONTEXT])):
-                yield m.start(), m.end(), "", "pieces"
+                yield m.start(), m.end(), "", "pieces", "told"
 
 
 def line_of(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-_PLACES = "digest string, line_no int, start_char int, end_char int, value string, form string"
+_INDEX = "digest string, line_no int, start_char int, end_char int, form string, place string, value_id binary, strength int"
+_PLACES = "digest string, line_no int, start_char int, end_char int, form string"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 6
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in _PLACES.split(", ")])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    cols = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(cols, types)], names=list(names))
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,55 +228,90 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for digest, text in zip(b.column("digest").to_pylist(), b.column("text")):
             text = text.as_py()
-            rows += [(digest, line_of(text, s), s, e, v, form) for s, e, v, form in candidates(text)]
-        yield _batch(rows)
+            for s, e, v, form, place in indexed(text):
+                rows.append((digest, line_of(text, s), s, e, form, place, hashlib.sha256((v or text[s:e]).encode("utf-8", "surrogatepass")).digest()[:16], strength(v, place)))
+        yield _batch(rows, _INDEX)
 
 
 def literal_index(texts: DataFrame) -> DataFrame:
-    """Every candidate place of the distinct texts (digest, text)."""
-    return texts.mapInArrow(_indexed, _PLACES)
+    """Every place of the distinct texts (digest, text) that may hold a credential, with its value's digest and strength; written once."""
+    return materialize(texts.mapInArrow(_indexed, _INDEX), "credential-index")
+
+
+def decided(index: DataFrame, owners: DataFrame) -> DataFrame:
+    """The index with a column verdict: shared, unstructured or confirmed. owners: (digest, owner) of every text.
+
+    Values are counted, not gathered: one row a value and owner, then one a value.
+    """
+    all_owners = owners.select("owner").distinct().count()
+    held = index.where("form IN ('named', 'form')").select("digest", "value_id").distinct().join(owners, "digest").select("value_id", "owner").distinct().groupBy("value_id").agg(F.count("*").alias("n"))
+
+    def beyond(limit: tuple[int, float]):
+        return (F.col("n") > limit[0]) & (F.col("n") > all_owners * limit[1])
 
+    # Only what more than the smallest number share can be suppressed, so only that is joined back.
+    many = held.where(F.col("n") > min(MOST_OWNERS[0], FEW_OWNERS[0]))
+    shared = beyond(MOST_OWNERS) | (beyond(FEW_OWNERS) & (F.col("strength") < 2))
+    verdict = F.when(F.coalesce(shared, F.lit(False)), "shared").when(F.col("strength") == 0, "unstructured").otherwise("confirmed")
+    return index.join(many, "value_id", "left").withColumn("verdict", verdict).drop("n")
 
-def confirmed_places(index: DataFrame, owners: DataFrame) -> DataFrame:
-    """The places whose value is no shared placeholder; owners: (digest, owner) of every text."""
-    few, share = MOST_OWNERS
-    all_owners = owners.agg(F.countDistinct("owner").alias("all_owners"))
-    named = index.where("form = 'named'")
-    held = named.select("digest", "value").distinct().join(owners, "digest").groupBy("value").agg(F.countDistinct("owner").alias("n"))
-    shared = held.join(all_owners, F.lit(True)).where((F.col("n") > few) & (F.col("n") > F.col("all_owners") * share)).select("value")
-    return index.where("form <> 'named'").unionByName(named.join(shared, "value", "left_anti").select(*index.columns))
 
+def confirmed_values(confirmed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(value) of each confirmed value that is one piece of text, cut from one of its places."""
+    one = confirmed.where("form IN ('named', 'form')").groupBy("value_id").agg(F.min(F.struct("digest", "start_char", "end_char")).alias("at")).select("at.*")
+    cut = F.substring("text", F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    return texts.join(one, "digest").select(cut.alias("value")).distinct()
+
+
+def _automaton(values: Iterable[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for v in values:
+        a.add_word(v, v)
+    a.make_automaton()
+    return a
+
+
+def _matches(a: ahocorasick.Automaton, digest: str, text: str) -> Iterator[tuple]:
+    """Places of the automaton's values that no letter or digit continues."""
+    for last, v in a.iter(text):
+        s, e = last - len(v) + 1, last + 1
+        if not ((s and text[s - 1].isalnum() and v[0].isalnum()) or (e < len(text) and text[e].isalnum() and v[-1].isalnum())):
+            yield digest, line_of(text, s), s, e, "found"
+
+
+def _scanned(values: list[str] | None):
+    """Scans (digest, text) for values, or (digest, text, wanted) for each batch's wanted values."""
 
-def _scanner(values: list[str]):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = ahocorasick.Automaton()
-        for v in values:
-            a.add_word(v, v)
-        a.make_automaton()
+        a = _automaton(values) if values is not None else None
         for b in batches:
-            rows = []
-            for digest, text in zip(b.column("digest").to_pylist(), b.column("text")):
-                text = text.as_py()
-                for last, v in a.iter(text):
-                    s, e = last - len(v) + 1, last + 1
-                    if (s and text[s - 1].isalnum() and v[0].isalnum()) or (e < len(text) and text[e].isalnum() and v[-1].isalnum()):
-                        continue
-                    rows.append((digest, line_of(text, s), s, e, v, "found"))
-            yield _batch(rows)
+            mine = a
+            if mine is None:
+                mine = _automaton({v for vs in b.column("wanted").to_pylist() for v in vs})
+            yield _batch([m for digest, text in zip(b.column("digest").to_pylist(), b.column("text")) for m in _matches(mine, digest, text.as_py())], _PLACES)
 
     return scan
 
 
-def rescanned(texts: DataFrame, confirmed: DataFrame) -> DataFrame:
-    """All places of confirmed values, by automata of at most AUTOMATON_VALUES values."""
-    values = materialize(confirmed.where("value <> ''").select("value").distinct(), "secrets")
-    shards = max(1, -(-values.count() // AUTOMATON_VALUES)) * 2 if values.count() > AUTOMATON_VALUES else 1
-    places = None
-    for k in range(shards):
-        shard = values if shards == 1 else values.where(F.pmod(F.xxhash64("value"), F.lit(shards)) == k)
-        part = texts.mapInArrow(_scanner([r.value for r in shard.toLocalIterator()]), _PLACES)
-        places = part if places is None else places.unionByName(part)
-    return places
+_RUN, _GAP = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}\s]+"
+
+
+def anchored(texts: DataFrame, values: DataFrame) -> DataFrame:
+    """(digest, wanted): of each text the values whose anchor it holds. Runs within a value are whole runs of every text that holds it."""
+    pairs = F.regexp_extract_all("value", F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?=({_RUN}{_GAP}{_RUN}))"), F.lit(1))
+    runs = F.regexp_extract_all("value", F.lit(_RUN), F.lit(0))
+    longest = F.element_at(F.array_sort(F.when(F.size(pairs) > 0, pairs).otherwise(runs), lambda x, y: F.length(y) - F.length(x)), 1)
+    wanted = values.where(F.col("value").rlike(_RUN)).select("value", longest.alias("anchor"))
+    held = F.array_union(F.regexp_extract_all("text", F.lit(_RUN), F.lit(0)), F.regexp_extract_all("text", F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?=({_RUN}{_GAP}{_RUN}))"), F.lit(1)))
+    found = texts.select("digest", F.explode(held).alias("anchor")).join(wanted, "anchor").select("digest", "value").distinct()
+    return found.groupBy("digest").agg(F.collect_set("value").alias("wanted"))  # no more values than the text has anchors
+
+
+def rescanned(texts: DataFrame, values: DataFrame, most: int = AUTOMATON_VALUES) -> DataFrame:
+    """All places of confirmed values."""
+    if values.limit(most + 1).count() <= most:
+        return texts.mapInArrow(_scanned([r.value for r in values.collect()]), _PLACES)  # at most AUTOMATON_VALUES
+    return texts.join(anchored(texts, values), "digest").select("digest", "text", "wanted").mapInArrow(_scanned(None), _PLACES)
 
 
 def distinct_texts(rows: DataFrame, name: str) -> DataFrame:
@@ -263,14 +320,26 @@ def distinct_texts(rows: DataFrame, name: str) -> DataFrame:
     return materialize(texts, name)
 
 
-def credential_places(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(places, records, texts): places by text digest, records (canonical_id, digest), texts (digest, text)."""
+def judged_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index with verdicts, records, texts): records (canonical_id, digest), texts (digest, text)."""
     rows = valid_rows(nodes)
     texts = distinct_texts(rows, "texts")
     records = rows.where(F.length("text") > 0).select("canonical_id", F.md5("text").alias("digest"))
     owners = records.select("digest", F.lower(F.element_at(id_parts(), 1)).alias("owner")).distinct()
-    confirmed = materialize(confirmed_places(literal_index(texts), owners), "credentials")
-    return confirmed.unionByName(rescanned(texts, confirmed)), records.distinct(), texts
+    return decided(literal_index(texts), owners), records.distinct(), texts
+
+
+def credential_places(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(places, records, texts): places by text digest, records (canonical_id, digest), texts (digest, text)."""
+    judged, records, texts = judged_index(nodes)
+    confirmed = judged.where("verdict = 'confirmed'")
+    places = [c.split()[0] for c in _PLACES.split(", ")]
+    return confirmed.select(*places).unionByName(rescanned(texts, confirmed_values(confirmed, texts))), records, texts
+
+
+def credential_verdicts(nodes: DataFrame) -> DataFrame:
+    """(verdict, form, literals, places): how many values and places of the index each step decides."""
+    return judged_index(nodes)[0].groupBy("verdict", "form").agg(F.countDistinct("value_id").alias("literals"), F.count("*").alias("places"))
 
 
 def credentials_found(nodes: DataFrame) -> DataFrame:

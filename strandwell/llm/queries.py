@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandwell.llm.credentials import credentials_found, redacted_texts
+from strandwell.llm.credentials import credential_verdicts, credentials_found, redacted_texts
 from strandwell.llm.encoding_repair import restored_documents
 from strandwell.llm.mixing import mix, mix_shares
 from strandwell.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -62,6 +62,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p4_found": (lambda s, d: near_duplicate_pairs(read(s, d, "rag_node")), P4_SQL),
     "p7_found": (lambda s, d: credentials_found(read(s, d, "rag_node")), None),
     "p7_redacted": (lambda s, d: redacted_texts(read(s, d, "rag_node")), None),
+    "p7_verdicts": (lambda s, d: credential_verdicts(read(s, d, "rag_node")), None),
     "p5_found": (lambda s, d: not_hand_written(read(s, d, "rag_node")).select("canonical_id").distinct(), None),
     "p5_kinds": (lambda s, d: not_hand_written(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),

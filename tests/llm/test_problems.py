@@ -216,6 +216,23 @@ def test_placeholders_of_many_owners_are_suppressed(spark):
     assert [r.canonical_id for r in credentials.credentials_found(nodes(spark, rows)).collect()] == ["r0::s::cs::b"]
 
 
+def test_anchored_scan_equals_the_broadcast_one(spark):
+    rng = random.Random(70)
+    values = ["aB3$x9", "plainrun99", "Fold!4643edge", "x-y-z-12!", "ghp_aB3dE5", "sP=G*s(1)x", "żółw-7-ł", "#!$%a1B"]
+    bits = ["the ", "x", "-", "\n", '"', "Ż", "9", "(", " = ", "Fold!", "edge"]
+    texts = ["".join(rng.choice([rng.choice(values), rng.choice(bits), rng.choice(bits)]) for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    rows = spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "digest string, text string")
+    held = spark.createDataFrame([(v,) for v in values], "value string")
+    one, many = (sorted(tuple(r) for r in credentials.rescanned(rows, held, most).collect()) for most in (100, 2))
+    assert one == many and len(one) > 100
+
+
+def test_verdicts(spark):
+    rows = [(f"r{n}::s::cs::a", f'password = "Given_Here" // {n}') for n in range(9)] + [("r0::s::cs::b", 'password = "Other!2024yz"'), ("r0::s::cs::c", 'password = "${FROM_VAULT}"')]
+    got = {(r.verdict, r.form): (r.literals, r.places) for r in credentials.credential_verdicts(nodes(spark, rows)).collect()}
+    assert got == {("shared", "named"): (1, 9), ("confirmed", "named"): (1, 1), ("unstructured", "named"): (1, 1)}
+
+
 # Problem 5
 
 
