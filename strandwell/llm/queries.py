@@ -13,7 +13,7 @@ from strandwell.llm.near_duplicates import near_duplicate_groups, near_duplicate
 from strandwell.llm.code_languages import language_sentences, language_shares, languages_found
 from strandwell.llm.conversations import conversation_messages, conversations_found
 from strandwell.llm.packing import container_fill, containers
-from strandwell.llm.source_files import not_hand_written
+from strandwell.llm.source_files import deciding_evidence, not_hand_written
 from strandwell.llm.splitting import oversized_found, split_oversized
 from strandwell.records import read
 
@@ -65,6 +65,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "p7_verdicts": (lambda s, d: credential_verdicts(read(s, d, "rag_node")), None),
     "p5_found": (lambda s, d: not_hand_written(read(s, d, "rag_node")).select("canonical_id").distinct(), None),
     "p5_kinds": (lambda s, d: not_hand_written(read(s, d, "rag_node")), None),
+    "p5_evidence": (lambda s, d: deciding_evidence(read(s, d, "rag_node")), None),
     "p6_found": (lambda s, d: oversized_found(read(s, d, "rag_node"), read(s, d, "size_limit")), P6_SQL),
     "p6_pieces": (lambda s, d: split_oversized(read(s, d, "rag_node"), read(s, d, "size_limit")), None),
     "p8_containers": (lambda s, d: containers(read(s, d, "documents"), read(s, d, "container_spec")), None),
