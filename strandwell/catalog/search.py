@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandwell.operators import evaluation, nodes
 from strandwell.operators import filters as f
 from strandwell.operators import ranking as r
 from strandwell.records import read
@@ -76,19 +77,24 @@ def _ranked(hits):
 VIS_SQL = f"(acl_allow IS NULL OR list_has_any(acl_allow, {ACL_SQL})) AND (classification_labels IS NULL OR list_has_all({LABELS_SQL}, classification_labels)) AND (doc_level IS NULL OR doc_level <= {LEVEL})"
 
 
-def _per_snapshot_topk(s, d):
-    """Nodes nearest to each snapshot's first node, by the node's own embedding: one plan for all snapshots."""
-    from pyspark.sql import Window
+def _visible_vectors(s, d):
+    """Vectors of the nodes that may be seen, one a node and snapshot."""
+    seen = f.acl_any(ACL) & f.labels_subset(LABELS) & f.clearance(LEVEL)
+    rows = read(s, d, N).where(seen & F.col("embedding").isNotNull() & F.col("snapshot_id").isNotNull() & F.col("canonical_id").isNotNull())
+    return rows.groupBy("snapshot_id", F.col("canonical_id").alias("doc_id")).agg(F.min("embedding").alias("vector"))
+
 
-    nodes = read(s, d, N).where("embedding IS NOT NULL AND snapshot_id IS NOT NULL AND canonical_id IS NOT NULL").select("canonical_id", "snapshot_id", "embedding").dropDuplicates(["canonical_id", "snapshot_id"])
-    firsts = nodes.groupBy("snapshot_id").agg(F.min_by("embedding", "canonical_id").alias("q"))
-    scored = nodes.join(firsts, "snapshot_id").select(F.col("snapshot_id").alias("query_id"), F.col("canonical_id").alias("doc_id"), F.round(r.dot("embedding", "q"), 5).alias("score"))
-    return _ranked(r.top_k(scored, 5))
+def _per_snapshot_topk(s, d):
+    """For one node in twenty, by a hash of its id, the visible nodes of its snapshot that are nearest to it; all snapshots in one plan."""
+    asking = F.conv(F.substring(F.md5("canonical_id"), 1, 8), 16, 10).cast("long") % 20 == 0
+    rows = read(s, d, N).where(asking & F.col("embedding").isNotNull() & F.col("snapshot_id").isNotNull())
+    queries = rows.groupBy("snapshot_id", "canonical_id").agg(F.min("embedding").alias("vector")).select("snapshot_id", F.concat_ws("|", "snapshot_id", "canonical_id").alias("query_id"), "vector")
+    return _ranked(r.vector_search(_visible_vectors(s, d), queries, 5, part="snapshot_id"))
 
 
-SNAP_SQL = """WITH n AS (SELECT DISTINCT ON (canonical_id, snapshot_id) canonical_id, snapshot_id, CAST(embedding AS DOUBLE[]) AS v FROM rag_node WHERE embedding IS NOT NULL AND snapshot_id IS NOT NULL AND canonical_id IS NOT NULL),
-f AS (SELECT snapshot_id, arg_min(v, canonical_id) AS q FROM n GROUP BY 1),
-s AS (SELECT snapshot_id AS query_id, canonical_id AS doc_id, round(list_dot_product(v, q), 5) AS score FROM n JOIN f USING (snapshot_id)) """ + _top("s", 5)
+SNAP_SQL = f"""WITH v AS (SELECT snapshot_id, canonical_id AS doc_id, CAST(min(embedding) AS DOUBLE[]) AS v FROM rag_node WHERE {VIS_SQL} AND embedding IS NOT NULL AND snapshot_id IS NOT NULL AND canonical_id IS NOT NULL GROUP BY 1, 2),
+q AS (SELECT snapshot_id, snapshot_id || '|' || canonical_id AS query_id, CAST(min(embedding) AS DOUBLE[]) AS q FROM rag_node WHERE CAST('0x' || substr(md5(canonical_id), 1, 8) AS UBIGINT) % 20 = 0 AND embedding IS NOT NULL AND snapshot_id IS NOT NULL GROUP BY snapshot_id, canonical_id),
+s AS (SELECT query_id, doc_id, round(list_dot_product(v, q) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(q, q))), 6) AS score FROM v JOIN q USING (snapshot_id)) """ + _top("s", 5)
 
 SERVERS = [(1, "local", False, 10, ["finance"], ["public", "internal"]), (2, "shared", False, 30, ["finance", "security", "hr"], ["public", "internal", "secret"]), (3, "vault", True, 0, None, None)]
 
@@ -117,10 +123,7 @@ QUERIES = {
         _sql("canonical_id IN (SELECT to_canonical_id FROM rag_edge)"),
     ),
     "f10_universe": (_where(lambda: f.labels_within_universe(["public", "internal"], ["public", "internal", "secret"])), _sql("classification_labels IS NULL OR list_has_all(['public','internal'], classification_labels)")),
-    "f14_snapshot_member": (
-        lambda s, d: read(s, d, N).join(read(s, d, "snapshot_set").where("is_active").select(F.explode("allowed_snapshot_ids").alias("snapshot_id")).distinct(), "snapshot_id", "left_semi").select("canonical_id", "import_id"),
-        _sql("snapshot_id IN (SELECT unnest(allowed_snapshot_ids) FROM snapshot_set WHERE is_active)"),
-    ),
+    "f14_snapshot_member": (lambda s, d: nodes.in_active_sets(read(s, d, N), read(s, d, "snapshot_set")).select("canonical_id", "import_id"), _sql("snapshot_id IN (SELECT unnest(allowed_snapshot_ids) FROM snapshot_set WHERE is_active)")),
     "f15_ref": (lambda s, d: read(s, d, "import_run").where(f.ref_is("develop")).select("import_id", "snapshot_id"), "SELECT import_id, snapshot_id FROM import_run WHERE tag = 'develop' OR ref_name = 'develop' OR branch = 'develop'"),
     "f16_visible": (_where(lambda: f.acl_any(ACL) & f.labels_subset(LABELS) & f.clearance(LEVEL)), _sql(VIS_SQL)),
     "f17_not_deleted": (lambda s, d: read(s, d, "conversation_turn").where(f.not_deleted("finalized_at_utc")).select("turn_id", "session_id"), "SELECT turn_id, session_id FROM conversation_turn WHERE finalized_at_utc IS NULL"),
@@ -153,10 +156,10 @@ QUERIES = {
     "r06_search_visible_nodes": (_per_snapshot_topk, SNAP_SQL),
     "r09_widen": (lambda s, d: _ranked(r.widened(r.vector_search(_vectors(s, d), _query_vectors(s, d), 30), 5)), f"WITH {VEC_SQL} " + _top("ve", 5)),
     "r10_query_dedup": (
-        lambda s, d: read(s, d, "conversation_turn").where("question_neutral IS NOT NULL").select(F.lower(F.trim(F.regexp_replace("question_neutral", r"\s+", " "))).alias("query")).where("query <> ''").distinct(),
+        lambda s, d: r.distinct_queries(read(s, d, "conversation_turn"), "question_neutral"),
         r"SELECT DISTINCT lower(trim(regexp_replace(question_neutral, '\s+', ' ', 'g'), ' ')) AS query FROM conversation_turn WHERE question_neutral IS NOT NULL AND lower(trim(regexp_replace(question_neutral, '\s+', ' ', 'g'), ' ')) <> ''",
     ),
-    "r12_worst": (lambda s, d: read(s, d, "documents").select("doc_id", "n_chars").orderBy("n_chars", F.desc("doc_id")).limit(50), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars NULLS FIRST, doc_id DESC LIMIT 50"),
+    "r12_worst": (lambda s, d: evaluation.worst(read(s, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 50), "SELECT doc_id, n_chars FROM documents ORDER BY n_chars NULLS FIRST, doc_id DESC LIMIT 50"),
     "r13_tfidf": (
         lambda s, d: _ranked(r.tfidf_cosine(_docs(s, d), _queries(s, d), 10)),
         "WITH toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents WHERE text IS NOT NULL), n AS (SELECT count(*) AS n FROM toks WHERE len(w) > 0), post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1), "

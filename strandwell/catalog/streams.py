@@ -36,7 +36,15 @@ def _last(s, d):
 
     query = t.run_logs(_stream(s, d)).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", new_path(s, "logs-log")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.read.schema(t._LOG).parquet(out)
+    return t.newest_logs(s.read.schema(t._LOG).parquet(out))
+
+
+def _details(s, d):
+    """Events as steps of a run, with a payload for each action."""
+    e = read(s, d, "events")
+    action = F.when(F.col("event_type") == "view", "search_nodes").when(F.col("event_type") == "click", "call_model").when(F.col("event_type") == "purchase", "manage_context_budget").otherwise("finalize")
+    payload = F.to_json(F.struct(F.col("event_type").alias("search_type"), F.col("user_id").alias("top_k"), F.repeat("event_type", 60).alias("query"), F.col("event_type").alias("prompt"), F.col("user_id").alias("context_blocks")))
+    return e.select("event_id", t.step_details(action, payload).alias("details"))
 
 
 def _tumbling_stream(s, d):
@@ -64,7 +72,11 @@ _W = "SELECT time_bucket(INTERVAL '1 hour', ts) AS from_ts, event_type, count(*)
 QUERIES = {
     "st01_projected": (_projected, "SELECT event_id, ts, user_id, event_type AS kind, CASE event_type WHEN 'view' THEN 'k=' || (props->>'$.k') WHEN 'purchase' THEN printf('value %.2f', value) WHEN 'error' THEN substr(props, 1, 180) END AS detail FROM events WHERE event_type <> 'signup'"),
     "st02_run_logs": (_last, "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS position FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 600)"),
-    "st04_replay": (lambda s, d: t.replay_then_tail(read(s, d, "events").where("event_id < 5000").select("event_id", "event_type"), read(s, d, "events").where("event_id >= 4000").select("event_id", "event_type")), "SELECT event_id, event_type FROM events"),
+    "st04_replay": (
+        lambda s, d: t.replay_and_done(read(s, d, "events").where("event_id < 5000").select("event_id", "user_id", "event_type"), read(s, d, "events").where("event_id >= 4000").select("event_id", "user_id", "event_type"), "user_id", ends=("purchase", "error")).select("event_id", "event_type", "done"),
+        "SELECT event_id, event_type, event_type IN ('purchase','error') AND event_id = max(event_id) OVER (PARTITION BY user_id) AS done FROM events",
+    ),
+    "st06_details": (_details, """SELECT event_id, CASE event_type WHEN 'view' THEN '{"search_type":"view","top_k":"' || user_id || '","query":"' || substr(repeat(event_type, 60), 1, 180) || '"}' WHEN 'click' THEN '{"prompt":"click"}' WHEN 'purchase' THEN '{"context_blocks":"' || user_id || '"}' ELSE '{}' END AS details FROM events"""),
     "st_tumbling": (lambda s, d: t.tumbling(read(s, d, "events")), _W),
     "st_tumbling_stream": (_tumbling_stream, None),
     "st_sliding": (lambda s, d: t.sliding(read(s, d, "events")), "WITH e AS (SELECT time_bucket(INTERVAL '30 minutes', ts) AS b FROM events), x AS (SELECT b AS from_ts FROM e UNION ALL SELECT b - INTERVAL '30 minutes' FROM e) SELECT from_ts, count(*) AS n FROM x GROUP BY 1"),

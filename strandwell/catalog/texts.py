@@ -59,13 +59,17 @@ SELECT doc, greatest(1, min(n) - 18) AS from_line, max(n) + 18 AS to_line FROM k
 QUERIES = {
     "x01_query_key": (_doc(lambda: x.query_key("title")), r"SELECT doc_id, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS out FROM documents"),
     "x02_collapse": (_doc(lambda: F.md5(x.collapse("text"))), r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' ')) AS out FROM documents"),
-    "x03_one_line": (_doc(lambda: x.one_line("text")), None),
+    "x03_one_line": (
+        _doc(lambda: x.one_line("text")),
+        r"WITH c AS (SELECT doc_id, coalesce(regexp_replace(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), '^ +| +$', '', 'g'), '') AS l FROM documents), h AS (SELECT doc_id, l, substr(l, 1, 139) AS p FROM c) "
+        "SELECT doc_id, CASE WHEN length(l) <= 140 THEN l WHEN contains(p, ' ') THEN substr(p, 1, length(p) - position(' ' IN reverse(p))) || ' …' ELSE substr(l, 1, 138) || '…' END AS out FROM h",
+    ),
     "x04_without_comments": (lambda s, d: _sql_texts(s, d).select("canonical_id", "import_id", F.md5(x.without_sql_comments("text")).alias("out")), r"SELECT canonical_id, import_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), '\s+', ' ', 'g'), ' ')) AS out FROM rag_node WHERE lower(regexp_replace(file_type, '^\.', '')) = 'sql' AND length(text) > 0"),
     "x05_tidy_space": (_node(lambda: F.md5(x.tidy_space("text")), where="text IS NOT NULL"), r"SELECT canonical_id, import_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS out FROM rag_node WHERE text IS NOT NULL"),
     "x06_plain_ident": (_node(lambda: x.plain_ident(F.concat(F.lit("["), F.col("sql_schema"), F.lit("]."), F.col("sql_name"))), where="sql_name <> ''"), "SELECT canonical_id, import_id, sql_schema || '.' || sql_name AS out FROM rag_node WHERE sql_name <> ''"),
     "x07_bracketed": (_node(lambda: x.bracketed_ident(F.concat_ws(".", "sql_schema", "sql_name")), where="sql_name <> ''"), "SELECT canonical_id, import_id, '[' || sql_schema || '].[' || sql_name || ']' AS out FROM rag_node WHERE sql_name <> ''"),
     "x08_hints": (lambda s, d: _sql_texts(s, d).select("canonical_id", "import_id", F.md5(x.clean_preview(x.without_hints("text"))).alias("out")), None),
-    "x09_fence": (_doc(lambda: F.md5(x.without_fence("text"))), None),
+    "x09_fence": (_doc(lambda: F.md5(x.without_fence("text"))), r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '), '^```[A-Za-z0-9_+-]*\s*', ''), '\s*```$', ''), '^ +| +$', '', 'g')) AS out FROM documents"),
     "x10_lenient_json": (lambda s, d: read(s, d, "events").select("event_id", mk.apply(mk.lenient_json, F.regexp_replace("props", "\"", "")).alias("out")), "SELECT event_id, '{\"k\":' || CAST(CAST(props->>'$.k' AS BIGINT) AS VARCHAR) || '}' AS out FROM events"),
     "x11_payload": (lambda s, d: read(s, d, "conversation_turn").select("turn_id", mk.apply(mk.query_payload, "question_neutral").alias("out")), None),
     "x12_decision": (lambda s, d: read(s, d, "events").select("event_id", mk.apply(lambda t: mk.decision(t)[0], F.concat(F.lit("decision: "), F.col("event_type"))).alias("out")), "SELECT event_id, event_type AS out FROM events"),
@@ -73,7 +77,11 @@ QUERIES = {
     "x14_clean_list": (_node(lambda: F.array_join(x.clean_list("acl_allow"), ",")), "SELECT canonical_id, import_id, array_to_string([trim(v) FOR v IN coalesce(acl_allow, []) IF trim(v) <> ''], ',') AS out FROM rag_node"),
     "x15_to_int": (lambda s, d: read(s, d, "events").select("event_id", x.to_int(F.col("value").cast("string")).alias("out")), "SELECT event_id, CAST(trunc(value) AS INTEGER) AS out FROM events"),
     "x16_sigmoid": (lambda s, d: read(s, d, "events").select("event_id", F.round(x.sigmoid(F.col("value") / 100), 6).alias("out")), "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS out FROM events"),
-    "x17_uuid5": (_node(lambda: x.snapshot_uuid("repo", "head_sha", F.lit(None).cast("string")), where="head_sha <> '' AND repo IS NOT NULL"), None),
+    "x17_uuid5": (
+        _node(lambda: x.snapshot_uuid("repo", "head_sha", F.lit(None).cast("string")), where="head_sha <> '' AND repo IS NOT NULL"),
+        f"WITH x AS (SELECT canonical_id, import_id, sha1(from_hex('{x.DNS_NAMESPACE}') || encode(repo || ':' || trim(head_sha))) AS h FROM rag_node WHERE head_sha <> '' AND repo IS NOT NULL) "
+        "SELECT canonical_id, import_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + CAST(('0x' || substr(h, 17, 1)) AS INTEGER) % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS out FROM x",
+    ),
     "x18_digest": (_node(lambda: x.short_digest("text")), "SELECT canonical_id, import_id, substr(sha1(text), 1, 12) AS out FROM rag_node"),
     "x20_suggest_set_id": (_node(lambda: x.suggested_set_id("repo", "classification_labels"), where="repo IS NOT NULL AND classification_labels IS NOT NULL"), r"SELECT canonical_id, import_id, regexp_replace(regexp_replace(regexp_replace(repo || '-' || array_to_string(classification_labels[1:4], '-'), '[^A-Za-z0-9_.-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS out FROM rag_node WHERE repo IS NOT NULL AND classification_labels IS NOT NULL"),
     "x21_label_level": (_node(lambda: x.level_of_labels("classification_labels", LEVELS)), f"SELECT canonical_id, import_id, coalesce(list_max([{LEVEL_SQL} FOR x IN classification_labels]), 0) AS out FROM rag_node"),
@@ -92,7 +100,10 @@ QUERIES = {
     "x37_first_object": (lambda s, d: read(s, d, "events").select("event_id", mk.apply(mk.first_object, F.concat(F.lit("x "), F.col("props"), F.lit(" y}"))).alias("out")), "SELECT event_id, props AS out FROM events"),
     "x38_clip": (_doc(lambda: F.md5(x.clipped("text", 400))), "SELECT doc_id, md5(CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END) AS out FROM documents"),
     "x39_label": (_doc(lambda: x.labelled("snapshot {}:", "title")), "SELECT doc_id, 'snapshot ' || title || ':' AS out FROM documents"),
-    "t01_literals": (_node(lambda: F.size(ct.literals("text"))), None),
+    "t01_literals": (
+        _node(lambda: F.size(ct.literals("text"))),
+        r"SELECT canonical_id, import_id, len([l FOR l IN regexp_extract_all(coalesce(text, ''), $$(?s)/\*.*?(?:\*/|\z)|//[^\n]*|--[^\n]*|\$?\x22{3}.*?(?:\x22{3}|\z)|(?:\$@|@\$|@)\x22(?:[^\x22]|\x22\x22)*(?:\x22|\z)|\$?\x22(?:[^\x22\\]|\\.)*(?:\x22|\z)|\x27(?:[^\x27]|\x27\x27)*(?:\x27|\z)$$) IF NOT starts_with(l, '/') AND NOT starts_with(l, '-')]) AS out FROM rag_node",
+    ),
     "t05_classify": (_classes, None),
     "t05_confusion": (lambda s, d: _classes(s, d).groupBy(F.lower(F.regexp_replace("file_type", r"^\.", "")).alias("file_type"), "kind").agg(F.count("*").alias("n")), None),
     "t06_language": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", ct.language_of("kind").alias("language")), None),
@@ -100,7 +111,6 @@ QUERIES = {
     "t08_params": (_exploded("params"), None), "t09_ctes": (_exploded("ctes"), None), "t10_selects": (_exploded("selects"), None), "t11_writes": (_exploded("writes"), None), "t12_variables": (_exploded("variables"), None),
     "t13_columns": (_exploded("result_columns"), None), "t14_sources": (_exploded("sources"), None), "t15_equals": (_exploded("equals"), None), "t16_flow": (_exploded("flow"), None), "t17_purpose": (_part("object", "purpose"), None), "t19_tables": (_part("table_name", "primary_key", "foreign_keys"), None),
     "t12_transactions": (lambda s, d: _summaries(s, d).groupBy("s.isolation", "s.nolock", "s.pagination").agg(F.count("*").alias("n")), None),
-    "t20_compress": (_node(lambda: F.length(ct.cleaned_code("text")) <= F.length(F.regexp_replace("text", r"\r\n?", "\n")), where="text IS NOT NULL"), "SELECT canonical_id, import_id, true AS out FROM rag_node WHERE text IS NOT NULL"),
     "t21_clean": (_node(lambda: F.md5(ct.cleaned_code("text")), where="text IS NOT NULL"), None),
     "t22_windows": (_hits, HITS_SQL),
     "t23_phantom": (lambda s, d: _sql_texts(s, d).select("canonical_id", "import_id", ct.claims_missing_result_set(F.lit("returns rows"), "text").alias("out")), None),

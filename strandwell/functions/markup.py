@@ -99,9 +99,9 @@ def plantuml_encoded(text: str | None) -> str | None:
     data = zlib.compress(text.encode(), 9)[2:-4]
     out = []
     for i in range(0, len(data), 3):
-        b = data[i : i + 3] + b"\0\0"
-        n = b[0] << 16 | b[1] << 8 | b[2]
-        out.append("".join(SIXBIT[n >> s & 63] for s in (18, 12, 6, 0)))
+        b = data[i : i + 3]
+        n = int.from_bytes(b.ljust(3, b"\0"), "big")
+        out.append("".join(SIXBIT[n >> s & 63] for s in (18, 12, 6, 0)[: len(b) + 1]))  # no signs for bytes that are not there
     return "".join(out)
 
 
@@ -109,10 +109,11 @@ def plantuml_decoded(code: str) -> str:
     at = {c: i for i, c in enumerate(SIXBIT)}
     data = bytearray()
     for i in range(0, len(code), 4):
+        part = code[i : i + 4]
         n = 0
-        for c in code[i : i + 4]:
+        for c in part:
             n = n << 6 | at[c]
-        data += n.to_bytes(3, "big")
+        data += (n << 6 * (4 - len(part))).to_bytes(3, "big")[: len(part) - 1]
     return zlib.decompressobj(-15).decompress(bytes(data)).decode()
 
 

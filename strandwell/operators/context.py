@@ -10,7 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIG = 10000
+BIG = 10000  # fixed value: the place of what has none
+
+
+def chunk_order() -> list[Column]:
+    """By rank, then distance, each last where there is none, then the shorter path."""
+    return [F.coalesce(F.col("rank"), F.lit(BIG)), F.coalesce(F.col("distance"), F.lit(float(BIG))), F.length(F.coalesce("path", F.lit("")))]
+
+
+def dialog_tokens(turns: DataFrame, session: str, question: str, answer: str) -> DataFrame:
+    """(session, tokens) of whole dialogs."""
+    return turns.groupBy(session).agg(F.sum(approx_tokens(question) + approx_tokens(answer)).alias("tokens"))
+
+
+def union_in_order(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of first, then those of second that first has not: (key, part)."""
+    a = first.select(key).distinct().withColumn("part", F.lit(0))
+    return a.unionByName(second.select(key).distinct().join(a.select(key), key, "left_anti").withColumn("part", F.lit(1)))
+
+
+def compaction_rule(rules: list[dict], language: str) -> dict | None:
+    """The first rule whose language is the text's, or any (`*` or none)."""
+    return next((r for r in rules if str(r.get("language") or "*").lower() in ("*", language.lower())), None)
 
 
 def approx_tokens(text: str | Column) -> Column:

@@ -30,6 +30,57 @@ def last_messages(rows: DataFrame, session: str, time: str, key: str, n: int, be
     return rows.withColumn("n", F.row_number().over(newest)).where(F.col("n") <= n).withColumn("position", F.row_number().over(oldest)).drop("n")
 
 
+def new_sessions(sessions: DataFrame, messages: DataFrame, session: str = "session_id", title_chars: int = 64) -> DataFrame:
+    """sessions (session_id, identity_id, title, created_at, updated_at, deleted_at) with a row for each session that only messages know.
+
+    Its title is the start of its first question; sessions that are there stay as they are.
+    """
+    first = F.min(F.struct(F.col("created_at").isNull(), "created_at", "message_id", "identity_id", "question"))
+    made = messages.where(F.col(session).isNotNull()).groupBy(session).agg(first.alias("m"), F.max("created_at").alias("updated_at"))
+    title = F.substring(F.trim(F.regexp_replace(F.coalesce("m.question", F.lit("")), r"\s+", " ")), 1, title_chars)
+    rows = made.select(session, "m.identity_id", title.alias("title"), "m.created_at", "updated_at", F.lit(None).cast(sessions.schema["deleted_at"].dataType).alias("deleted_at"))
+    return insert_new(sessions, rows.select(*sessions.columns), [session])
+
+
+def with_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """messages and the new ones whose message_id is not there yet: sending twice is once."""
+    return insert_new(messages, new.select(*messages.columns), ["message_id"])
+
+
+def touched(sessions: DataFrame, messages: DataFrame, session: str = "session_id") -> DataFrame:
+    """sessions whose updated_at is that of their last message, if that is later."""
+    last = messages.groupBy(session).agg(F.max("created_at").alias("_last"))
+    return sessions.join(last, session, "left").withColumn("updated_at", F.greatest("updated_at", "_last")).drop("_last")
+
+
+def patched(sessions: DataFrame, changes: DataFrame, session: str = "session_id") -> DataFrame:
+    """sessions with the title and the time of each change (session_id, title, updated_at); blank titles and unknown or deleted sessions change nothing."""
+    new = changes.where(F.trim("title") != "").groupBy(session).agg(F.max(F.struct("updated_at", "title")).alias("_c"))
+    due = F.col("_c").isNotNull() & F.col("deleted_at").isNull()
+    out = sessions.join(new, session, "left")
+    return out.withColumns({"title": F.when(due, F.trim("_c.title")).otherwise(F.col("title")), "updated_at": F.when(due, F.col("_c.updated_at")).otherwise(F.col("updated_at"))}).drop("_c")
+
+
+def deleted(sessions: DataFrame, ids: DataFrame, at: object, session: str = "session_id") -> DataFrame:
+    """sessions with deleted_at set for those named; what is deleted already keeps its time."""
+    gone = ids.select(session).distinct().withColumn("_gone", F.lit(True))
+    return sessions.join(gone, session, "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), F.lit(at)))).drop("_gone")
+
+
+def message_counts(messages: DataFrame, session: str) -> DataFrame:
+    return messages.where(F.col(session).isNotNull()).groupBy(session).agg(F.count("*").alias("n"))
+
+
+def with_tag(sessions: DataFrame, tags: DataFrame, tag: str, session: str = "session_id") -> DataFrame:
+    """The sessions that bear a tag."""
+    return sessions.join(tags.where(F.col("tag") == tag).select(session), session, "left_semi")
+
+
+def messages_of_sessions(messages: DataFrame, sessions: DataFrame, session: str = "session_id") -> DataFrame:
+    """Messages with their session's identity; messages of no session are left out."""
+    return messages.join(sessions.select(session, "identity_id"), session)
+
+
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first in order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

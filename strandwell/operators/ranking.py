@@ -226,6 +226,11 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(sums.join(norms, "doc_id").join(qn, "query_id").select("query_id", "doc_id", F.round(F.col("s") / (F.col("norm") * F.col("qnorm")), 6).alias("score")), k)
 
 
+def distinct_queries(rows: DataFrame, column: str) -> DataFrame:
+    """(query): queries that differ in more than case and blanks, without empty ones."""
+    return rows.where(F.col(column).isNotNull()).select(F.lower(F.trim(F.regexp_replace(column, r"\s+", " "))).alias("query")).where("query <> ''").distinct()
+
+
 def widened(hits: DataFrame, k: int) -> DataFrame:
     """What is left of a list fetched wider than k: its first k, in the same order."""
     return hits.where(F.col("rank") <= k)

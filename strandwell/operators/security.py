@@ -19,6 +19,35 @@ def merged_policies(rows: DataFrame, user: str = "user_id") -> DataFrame:
     return g.select(user, union("acl").alias("acl"), union("labels").alias("labels"), "level", F.try_element_at(F.filter(F.transform("xs", lambda x: x["owner"]), lambda o: o.isNotNull()), F.lit(1)).alias("owner"))
 
 
+def groups_with_policies(groups: DataFrame, policies: DataFrame, key: str) -> DataFrame:
+    """Every group with each of its policies; a group without one keeps a row."""
+    return groups.join(policies, key, "left")
+
+
+def assembled_policies(groups: DataFrame, users: DataFrame, acl: DataFrame, labels: DataFrame, pipelines: DataFrame, limits: DataFrame, key: str = "group_name") -> DataFrame:
+    """(group_name, users, acl, labels, pipelines, level, owner) from the six policy tables; sorted lists, empty where there is nothing.
+
+    users, acl, labels and pipelines are (group_name, value), limits (group_name, level, owner).
+    """
+    out = groups.select(key).distinct()
+    for name, rows in (("users", users), ("acl", acl), ("labels", labels), ("pipelines", pipelines)):
+        lists = rows.where("value IS NOT NULL").select(key, "value").distinct().groupBy(key).agg(F.sort_array(F.collect_list("value")).alias(name))
+        out = out.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.join(limits.groupBy(key).agg(F.max("level").alias("level"), F.max(F.nullif(F.trim("owner"), F.lit(""))).alias("owner")), key, "left")
+
+
+def missing_tags(required: list[str], column: str = "acl_allow") -> Column:
+    """What a row's tags lack of the required ones, sorted."""
+    return F.sort_array(F.array_except(F.array(*[F.lit(t) for t in required]), column))
+
+
+def visible_for(items: DataFrame, allowed: str, groups: list[str]) -> DataFrame:
+    """Items that name no groups, or one of the user's, regardless of case (consultants, pipelines, templates)."""
+    mine = F.array(*[F.lit(g.strip().lower()) for g in groups if g and g.strip()]).cast("array<string>")
+    names = F.transform(F.coalesce(F.col(allowed), F.array().cast("array<string>")), lambda g: F.lower(F.trim(g)))
+    return items.where((F.size(names) == 0) | F.arrays_overlap(names, mine))
+
+
 def normalized_claim(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"^/+|/+$", "")
 

@@ -58,16 +58,49 @@ def purged(rows: DataFrame, repo: str, snapshot_id: str) -> DataFrame:
 
 def resolve_snapshot(members: DataFrame, set_id: str, wanted: str | None = None) -> str:
     """The one snapshot of a set, or the wanted one if it is in it; else an error."""
-    ids = [r.snapshot_id for r in members.where(F.col("snapshot_set_id") == set_id).select("snapshot_id").distinct().limit(1000).collect()]
+    mine = members.where(F.col("snapshot_set_id") == set_id).select("snapshot_id").distinct()
     if wanted:
-        if wanted not in ids:
+        if mine.where(F.col("snapshot_id") == wanted).isEmpty():
             raise ValueError("the snapshot is not in the set")
         return wanted
+    ids = [r.snapshot_id for r in mine.limit(2).collect()]  # enough to see whether it is the only one
     if len(ids) != 1:
-        raise ValueError(f"{len(ids)} snapshots in the set; one must be named")
+        raise ValueError(f"{'no' if not ids else 'several'} snapshots in the set; one must be named")
     return ids[0]
 
 
+def without_sets(sets: DataFrame, set_ids: Iterable[str]) -> DataFrame:
+    """The sets but those named."""
+    return sets.where(~F.coalesce(F.col("snapshot_set_id").isin(strings(set_ids)), F.lit(False)))
+
+
+def set_counts(sets: DataFrame) -> DataFrame:
+    return sets.agg(F.count("*").alias("n_sets"), F.count_if("is_active").alias("n_active"))
+
+
+def in_plan_order(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """rows with their ordinal within a plan."""
+    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+
+
+def access_consistency(nodes: DataFrame, runs: DataFrame) -> DataFrame:
+    """(n_nodes, n_completed, n_without_access, n_unknown, consistent): whether all completed imports were made with access lists.
+
+    A run without a status counts as completed. Without nodes everything is consistent, with nodes but no completed run nothing is.
+    """
+    done = runs.dropDuplicates(["import_id"]).where(F.coalesce(F.lower(trimmed("status")), F.lit("")).isin("", "completed"))
+    counts = done.select(F.lit(0).alias("n_nodes"), F.lit(1).alias("n_completed"), F.coalesce(~F.col("acl_enabled"), F.lit(False)).cast("int").alias("n_without_access"), F.col("acl_enabled").isNull().cast("int").alias("n_unknown"))
+    held = nodes.select(F.lit(1).alias("n_nodes"), *[F.lit(0).alias(c) for c in ("n_completed", "n_without_access", "n_unknown")])
+    found = counts.unionByName(held).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_nodes", "n_completed", "n_without_access", "n_unknown")])
+    return found.withColumn("consistent", (F.col("n_nodes") == 0) | ((F.col("n_completed") > 0) & (F.col("n_without_access") == 0) & (F.col("n_unknown") == 0)))
+
+
+def require_access_consistency(nodes: DataFrame, runs: DataFrame) -> None:
+    found = access_consistency(nodes, runs).first()
+    if not found.consistent:
+        raise RuntimeError(f"access lists are on, but of {found.n_completed} completed imports {found.n_without_access} were made without them and {found.n_unknown} do not tell")
+
+
 def set_id_of(text: str | Column) -> Column:
     """A set id: non-word characters as `-`, squeezed and stripped."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9_.-]+", "-"), "-{2,}", "-"), "^-+|-+$", "")

@@ -30,16 +30,32 @@ def local_session(cores: int = 8, app: str = "strandwell") -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a local session may do without; it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strandwell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_cut_points(spark: SparkSession) -> int:
+    """Deletes every cut point of this process and says how many there were; to be called once results are written, as they hold texts."""
+    done = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -74,9 +74,14 @@ def legacy_sql_nodes(spark: SparkSession, csv: str, bodies: str, acl_enabled: bo
     """CSV rows joined to body files by the end of their path; refused where access lists are on, as it has none."""
     if acl_enabled:
         raise ValueError("the CSV form has no access lists")
-    rows = spark.read.option("header", True).csv(csv)
-    texts = spark.read.option("wholetext", True).text(bodies).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("_name"), F.col("value").alias("body"))
-    joined = rows.withColumn("_name", F.regexp_extract(F.translate("body_path", "\\", "/"), r"([^/]+)$", 1)).join(texts, "_name", "left")
+    rows = spark.read.option("header", True).csv(csv).withColumn("_row", F.monotonically_increasing_id())
+    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    path = F.translate("body_path", "\\", "/")
+    texts = spark.read.option("wholetext", True).text(bodies).select(F.concat(F.lit("/"), F.input_file_name()).alias("_file"), name(F.input_file_name()).alias("_name"), F.col("value").alias("body"))
+    both = rows.withColumns({"_name": name(path), "_end": F.concat(F.lit("/"), F.regexp_replace(path, "^(?:\\./|/)+", ""))}).join(texts, "_name", "left")
+    # Of files of the same name that whose path ends as the row's does; the shortest, if several do.
+    fits = F.coalesce(F.col("_file").endswith(F.col("_end")), F.lit(False))
+    joined = first_wins(both.withColumn("body", F.when(fits, F.col("body"))), ["_row"], [F.when(fits, 0).otherwise(1), F.length("_file"), "_file"]).drop("_row", "_end", "_file")
     return _nodes(joined.drop("_name").select(F.to_json(F.struct("*")).alias("value")), "sql_code", "sql")
 
 
