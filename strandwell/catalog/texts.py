@@ -27,7 +27,31 @@ def _sql_texts(s, d):
 
 
 def _summaries(s, d):
-    return _sql_texts(s, d).select("canonical_id", "import_id", tsql.summary("text").alias("s"))
+    return tsql.summaries(_sql_texts(s, d)).select("canonical_id", "import_id", "s")
+
+
+# Text without comments and with empty literals, and dotted names, as SQL sees them.
+CLEAN = r"c AS (SELECT row_number() OVER () AS r, canonical_id, import_id, regexp_replace(text, $$(?s)/\*.*?(?:\*/|\z)|--[^\n]*|N?'(?:''|[^'])*'?$$, ' ' || chr(39) || chr(39) || ' ', 'g') AS t FROM rag_node WHERE lower(regexp_replace(file_type, '^\.', '')) = 'sql' AND length(text) > 0)"
+KEYWORDS = "'" + "','".join(sorted(tsql.STARTERS | {"ON", "WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "OUTER", "GROUP", "ORDER", "HAVING", "UNION", "EXCEPT", "INTERSECT", "OPTION", "FOR"})) + "'"
+NAME = r"((?:\[[^\]\n]*\]|\x22[^\x22\n]*\x22|[A-Za-z_]\w*|#{1,2}\w+)(?:\s*\.\s*(?:\[[^\]\n]*\]|[A-Za-z_]\w*))*)"
+_BARE = r"regexp_replace({}, '[\[\]\s]', '', 'g')"
+CTE_SQL = f"WITH {CLEAN} SELECT canonical_id, import_id, unnest(list_distinct(regexp_extract_all(t, " + r"'(?i)\bWITH\s+(\w+)\s*(?:\([^()]*\)\s*)?AS\s*\(', 1))) AS ctes FROM c"
+_VERB = r"(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+"
+WRITE_SQL = (
+    f"WITH {CLEAN}, w AS (SELECT canonical_id, import_id, unnest(regexp_extract_all(t, " + rf"'(?i)\b({_VERB}{NAME})', 1)) AS x FROM c) "
+    + r"SELECT canonical_id, import_id, upper(regexp_extract(x, '^\w+')) AS op, " + _BARE.format(f"regexp_replace(x, '(?i)^{_VERB}', '')") + " AS target FROM w"
+)
+VARIABLE_SQL = f"WITH {CLEAN} SELECT canonical_id, import_id, unnest(list_distinct([v FOR v IN regexp_extract_all(t, " + r"'@@?\w+') IF v[2] <> '@'])) AS variables FROM c"
+SOURCE_SQL = (
+    f"WITH {CLEAN}, w AS (SELECT r, canonical_id, import_id, unnest(regexp_extract_all(t, " + rf"'(?i)\b(?:FROM|JOIN)\s+({NAME}(?:\s+(?:AS\s+)?[A-Za-z_]\w*)?)', 1)) AS x FROM c), "
+    + "y AS (SELECT r, canonical_id, import_id, " + _BARE.format(f"regexp_extract(x, '^{NAME}', 1)") + r' AS "table", ' + r"regexp_extract(x, '(?i)\s(?:AS\s+)?([A-Za-z_]\w*)$', 1) AS a FROM w) "
+    + f'SELECT canonical_id, import_id, "table", alias FROM (SELECT DISTINCT r, canonical_id, import_id, "table", CASE WHEN upper(a) IN ({KEYWORDS}) THEN \'\' ELSE a END AS alias FROM y)'
+)
+FLAG_SQL = (
+    f"WITH {CLEAN} SELECT upper(regexp_extract(t, " + r"'(?i)\bISOLATION\s+LEVEL\s+((?:READ\s+)?\w+)', 1)) AS isolation, regexp_matches(t, '(?i)\bNOLOCK\b') AS nolock, "
+    + r"CASE WHEN regexp_matches(t, '(?i)\bOFFSET\b') AND regexp_matches(t, '(?i)\b(?:FETCH|ROWS)\b') THEN 'offset' WHEN regexp_matches(t, '(?i)\bTOP\b') THEN 'top' ELSE '' END AS pagination, count(*) AS n FROM c GROUP BY 1, 2, 3"
+)
+TABLE_SQL = f"WITH {CLEAN} SELECT canonical_id, import_id, " + _BARE.format("regexp_extract(t, " + rf"'(?i)\bCREATE\s+TABLE\s+{NAME}\s*\(', 1)") + " AS table_name FROM c"
 
 
 def _part(*cols):
@@ -108,9 +132,15 @@ QUERIES = {
     "t05_confusion": (lambda s, d: _classes(s, d).groupBy(F.lower(F.regexp_replace("file_type", r"^\.", "")).alias("file_type"), "kind").agg(F.count("*").alias("n")), None),
     "t06_language": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", ct.language_of("kind").alias("language")), None),
     "t07_summary": (lambda s, d: _summaries(s, d).select("canonical_id", "import_id", tsql.compact("s").alias("summary")), None),
-    "t08_params": (_exploded("params"), None), "t09_ctes": (_exploded("ctes"), None), "t10_selects": (_exploded("selects"), None), "t11_writes": (_exploded("writes"), None), "t12_variables": (_exploded("variables"), None),
-    "t13_columns": (_exploded("result_columns"), None), "t14_sources": (_exploded("sources"), None), "t15_equals": (_exploded("equals"), None), "t16_flow": (_exploded("flow"), None), "t17_purpose": (_part("object", "purpose"), None), "t19_tables": (_part("table_name", "primary_key", "foreign_keys"), None),
-    "t12_transactions": (lambda s, d: _summaries(s, d).groupBy("s.isolation", "s.nolock", "s.pagination").agg(F.count("*").alias("n")), None),
+    "t08_params": (_exploded("params"), None), "t10_selects": (_exploded("selects"), None),
+    "t13_columns": (_exploded("result_columns"), None), "t15_equals": (_exploded("equals"), None), "t16_flow": (_exploded("flow"), None), "t17_purpose": (_part("object", "purpose"), None),
+    "t09_ctes": (_exploded("ctes"), CTE_SQL),
+    "t11_writes": (_exploded("writes"), WRITE_SQL),
+    "t12_variables": (_exploded("variables"), VARIABLE_SQL),
+    "t12_transactions": (lambda s, d: _summaries(s, d).groupBy("s.isolation", "s.nolock", "s.pagination").agg(F.count("*").alias("n")), FLAG_SQL),
+    "t14_sources": (_exploded("sources"), SOURCE_SQL),
+    "t19_tables": (_part("table_name"), TABLE_SQL),
+    "t19_keys": (_part("table_name", "primary_key", "foreign_keys"), None),
     "t21_clean": (_node(lambda: F.md5(ct.cleaned_code("text")), where="text IS NOT NULL"), None),
     "t22_windows": (_hits, HITS_SQL),
     "t23_phantom": (lambda s, d: _sql_texts(s, d).select("canonical_id", "import_id", ct.claims_missing_result_set(F.lit("returns rows"), "text").alias("out")), None),

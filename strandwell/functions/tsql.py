@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"/\*[\s\S]*?(?:\*/|\Z)|--[^\n]*|N?'(?:''|[^'])*'?|\[[^\]\n]*\]|\"[^\"\n]*\"|@@?\w+|\#{1,2}\w+|\d+(?:\.\d+)?|[A-Za-z_]\w*|<>|<=|>=|!=|[^\sA-Za-z0-9_]")
@@ -72,15 +72,24 @@ def statements(ts: list[str]) -> Iterator[list[str]]:
         yield cur
 
 
-def header(ts: list[str]) -> tuple[str, list[dict], int]:
-    """(object, parameters, index after AS) of a procedure; an empty name if there is none."""
+def header(ts: list[str]) -> tuple[str, list[dict], int, list[str]]:
+    """(object, parameters, index after AS, statements that stand among the parameters) of a procedure; an empty name if there is none."""
     up = [t.upper() for t in ts]
     for i, u in enumerate(up):
         if u in ("PROC", "PROCEDURE") and "CREATE" in up[max(0, i - 4) : i] + ["CREATE" if "ALTER" in up[max(0, i - 2) : i] else ""]:
             obj, j = name_at(ts, i + 1)
             params, depth = [], 0
             cur: list[str] = []
+            strays: list[str] = []
             while j < len(ts) and not (up[j] == "AS" and depth <= 0 and not (cur and len(cur) == 1)):
+                if depth <= 0 and cur and (ts[j] == ";" or (up[j] in STARTERS and up[j] not in ("WITH", "EXEC", "EXECUTE"))):
+                    # A statement that got into the list ends where the list goes on, or at its end.
+                    while j < len(ts) and not (depth <= 0 and ((ts[j] == "," and ts[j + 1 : j + 2] and ts[j + 1].startswith("@")) or (up[j] == "AS" and up[j + 1 : j + 2] == ["BEGIN"]))):
+                        depth += (ts[j] == "(") - (ts[j] == ")")
+                        strays.append(ts[j])
+                        j += 1
+                    strays.append(";")
+                    continue
                 if ts[j] == "," and depth <= (1 if ts[i + 1 :][0:1] == ["("] else 0):
                     params.append(cur)
                     cur = []
@@ -89,8 +98,8 @@ def header(ts: list[str]) -> tuple[str, list[dict], int]:
                     cur.append(ts[j])
                 j += 1
             params.append(cur)
-            return obj, [p for c in params if (p := _param(c))], j + 1
-    return "", [], 0
+            return obj, [p for c in params if (p := _param(c))], j + 1, strays
+    return "", [], 0, []
 
 
 def _param(c: list[str]) -> dict | None:
@@ -284,9 +293,9 @@ def summarize(sql: str | None) -> dict:
     if not ts:
         return s
     up = [t.upper() for t in ts]
-    obj, params, body = header(ts)
-    sts = list(statements(ts[body:]))
-    ctes = [t.strip("[]") for st in sts if st[0].upper() == "WITH" for i, t in enumerate(st) if i + 2 < len(st) and (st[i - 1].upper() == "WITH" or st[i - 1] == ",") and (st[i + 1].upper() == "AS" or st[i + 1] == "(") and re.match(r"[\[A-Za-z_]", t)]
+    obj, params, body, strays = header(ts)
+    sts = [*statements(strays), *statements(ts[body:])]
+    ctes = [st[i + 1].strip("[]") for st in sts if st[0].upper() == "WITH" for i in [0, *_at_depth(st, {","})] if i + 2 < len(st) and st[i + 2].upper() in ("AS", "(") and re.match(r"[\[A-Za-z_]", st[i + 1])]
     ctes = list({c.lower(): c for c in ctes}.values())
     queries = [st for st in sts if "SELECT" in (t.upper() for t in st) and st[0].upper() in ("SELECT", "WITH", "INSERT")]
     writes = []
@@ -327,6 +336,13 @@ def summary(sql: str | Column) -> Column:
     return F.pandas_udf(_summaries, SUMMARY)(F.col(sql) if isinstance(sql, str) else sql)
 
 
+def summaries(rows: DataFrame, text: str = "text", out: str = "s") -> DataFrame:
+    """rows with the summary of their text; each distinct text is read once. A null text has an empty summary."""
+    keyed = rows.withColumn("_digest", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    texts = keyed.groupBy("_digest").agg(F.first(text).alias("_text")).select("_digest", summary("_text").alias(out))
+    return keyed.join(texts, "_digest").drop("_digest")
+
+
 def compact(s: str | Column) -> Column:
     """The summary as JSON under short keys."""
     c = F.col(s) if isinstance(s, str) else s
