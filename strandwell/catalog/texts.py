@@ -70,6 +70,37 @@ def _classes(s, d):
     return ct.classified(read(s, d, NODES).select("canonical_id", "import_id", "text", "file_type")).drop("text")
 
 
+def _re2(pattern: str) -> str:
+    """A pattern in the SQL engine's dialect, which has no possessive repeats and needs none."""
+    return "'" + pattern.replace("*+", "*").replace('\\"', '"').replace("'", "''") + "'"
+
+
+def _weighted_sql(text: str, table) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches({text}, {_re2(p)}) THEN {base} + {each} * len(regexp_extract_all({text}, {_re2(p)})) ELSE 0 END" for p, base, each in table)
+
+
+def _words_sql(words: list[str], base: float, each: float, of: str = "w") -> str:
+    hits = f"[x FOR x IN {of} IF x IN ({', '.join(repr(w) for w in words)})]"
+    return f"{base} * len(list_distinct({hits})) + {each} * len({hits})"
+
+
+_CODE_SQL = (
+    "m AS (SELECT canonical_id, import_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x01\\x02]', '', 'g'), "
+    + _re2(f"(?:{ct._COMMENT})|({ct._STRING})") + r", chr(1) || '\1' || chr(2), 'g'), '\x01\x02', '', 'g'), '\x01[^\x02]+\x02', '__STR__', 'g') AS c FROM rag_node), k AS (SELECT *, upper(c) AS u, regexp_extract_all(c, '\w+') AS w, [upper(x) FOR x IN regexp_extract_all(c, '\w+')] AS v FROM m)"
+)
+_MIGRATION_SQL = "(" + " + ".join(f"CAST(regexp_matches(c, {_re2(p)}) AS INTEGER)" for p in ct.MIGRATION) + ")"
+DOTNET_SQL = (
+    f"WITH {_CODE_SQL}, g AS (SELECT *, {_MIGRATION_SQL} AS mig FROM k) SELECT canonical_id, import_id, round(0e0 + {_weighted_sql('c', ct.DOTNET)} + {' + '.join(_words_sql(ws.split(), b, e) for ws, b, e in ct.DOTNET_WORDS)}"
+    + r" + CASE WHEN len(regexp_extract_all(c, ';')) >= 3 AND len(regexp_extract_all(c, '[{}]')) >= 2 THEN 2.5 ELSE 0 END + CASE WHEN len(regexp_extract_all(c, ';')) >= 15 THEN 3.0 ELSE 0 END + CASE WHEN mig >= 2 THEN 6.0 + mig ELSE 0 END + CASE WHEN regexp_matches(c, '\bmigrationBuilder\s*\.\s*Sql\s*\(') THEN 4.0 ELSE 0 END + CASE WHEN regexp_matches(c, "
+    + _re2(ct.CALLSITE) + ") THEN 3.5 ELSE 0 END, 6) AS dotnet_score FROM g"
+)
+SQL_SQL = (
+    f"WITH {_CODE_SQL} SELECT canonical_id, import_id, round(0e0 + {_words_sql(ct.SQL_WORDS, 2.2, 0.18, 'v')} + " + " + ".join(f"CASE WHEN regexp_matches(u, {_re2(p)}) THEN {w} ELSE 0 END" for p, w in ct.SQL_PATTERNS if "{0,2000}" not in p)
+    + r" + CASE WHEN regexp_matches(u, '(?s)\bSELECT\b.{0,1000}?.{0,1000}?\bFROM\b') THEN 10.0 ELSE 0 END + CASE WHEN regexp_matches(u, '(?s)\bUPDATE\b.{0,1000}?.{0,1000}?\bSET\b') THEN 9.0 ELSE 0 END"
+    + r" + CASE WHEN regexp_matches(u, '\bBEGIN\s+TRY\b') AND regexp_matches(u, '\bBEGIN\s+TRAN(?:SACTION)?\b') THEN 8.0 ELSE 0 END, 6) AS sql_score FROM k"
+)
+
+
 def _hits(s, d):
     """Lines of each text that hold `return`."""
     lines = read(s, d, NODES).where("text IS NOT NULL").select(F.md5("text").alias("doc"), "text").dropDuplicates(["doc"]).select("doc", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.col("line").contains("return"))
@@ -128,6 +159,8 @@ QUERIES = {
         _node(lambda: F.size(ct.literals("text"))),
         r"SELECT canonical_id, import_id, len([l FOR l IN regexp_extract_all(coalesce(text, ''), $$(?s)/\*.*?(?:\*/|\z)|//[^\n]*|--[^\n]*|\$?\x22{3}.*?(?:\x22{3}|\z)|(?:\$@|@\$|@)\x22(?:[^\x22]|\x22\x22)*(?:\x22|\z)|\$?\x22(?:[^\x22\\]|\\.)*(?:\x22|\z)|\x27(?:[^\x27]|\x27\x27)*(?:\x27|\z)$$) IF NOT starts_with(l, '/') AND NOT starts_with(l, '-')]) AS out FROM rag_node",
     ),
+    "t02_dotnet_score": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", "dotnet_score"), DOTNET_SQL),
+    "t03_sql_score": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", "sql_score"), SQL_SQL),
     "t05_classify": (_classes, None),
     "t05_confusion": (lambda s, d: _classes(s, d).groupBy(F.lower(F.regexp_replace("file_type", r"^\.", "")).alias("file_type"), "kind").agg(F.count("*").alias("n")), None),
     "t06_language": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", ct.language_of("kind").alias("language")), None),
