@@ -140,6 +140,8 @@ QUERIES = {
     "r01_bm25_and": (lambda s, d: _ranked(r.bm25(_docs(s, d), _queries(s, d), 10, "and")), f"WITH {BM25_SQL}, ba AS (SELECT * FROM bm WHERE m = (SELECT count(*) FROM qt WHERE qt.query_id = bm.query_id)) " + _top("ba", 10)),
     "r01_bm25_filtered": (lambda s, d: _ranked(r.bm25(_docs(s, d), _queries(s, d), 10, keep=F.col("source") == "wiki")), f"WITH {BM25_SQL}, bf AS (SELECT * FROM bm WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'wiki')) " + _top("bf", 10)),
     "r02_vector": (lambda s, d: _ranked(r.vector_search(_vectors(s, d), _query_vectors(s, d), 10)), f"WITH {VEC_SQL} " + _top("ve", 10)),
+    "r02_vector_index": (lambda s, d: _ranked(r.VectorIndex(_vectors(s, d)).search(_query_vectors(s, d), 10)), None),
+    "r02_vector_recall": (lambda s, d: r.recall(r.VectorIndex(_vectors(s, d)).search(_query_vectors(s, d), 10), r.vector_search(_vectors(s, d), _query_vectors(s, d), 10)), None),
     "r03_weighted": (
         lambda s, d: _ranked(r.weighted(r.vector_search(_vectors(s, d), _query_vectors(s, d), 20), r.bm25(_docs(s, d), _queries(s, d), 20), 10)),
         f"WITH {BM25_SQL}, {VEC_SQL}, b AS ({_top('bm', 20)}), v AS ({_top('ve', 20)}), "

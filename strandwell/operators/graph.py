@@ -24,6 +24,11 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return ends.where((F.length("src") > 0) & (F.length("dst") > 0)).distinct()
 
 
+def stored_edges(edges: DataFrame, snapshot_id: str) -> DataFrame:
+    """The clean edges of one snapshot, written once for the many expansions that read them."""
+    return materialize(clean_edges(edges.where(F.col("snapshot_id") == snapshot_id)).repartition("src"), "adjacency")
+
+
 def malformed_edges(edges: DataFrame) -> DataFrame:
     """(n_edges, n_malformed, n_untyped)."""
     blank = lambda c: F.coalesce(F.length(trimmed(c)) == 0, F.lit(True))

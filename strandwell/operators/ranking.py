@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwell.session import materialize
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 MISSING_RANK = 10**9
@@ -22,6 +24,7 @@ QUERY_BYTES = 32 << 20  # query vectors that are broadcast
 QUERY_BLOCK = 512  # query vectors of a block
 ROW_BLOCK = 8192
 SCORES_HELD = 1 << 21
+INDEX_SAMPLE = 20_000  # vectors that an index's cells are fitted on, about
 
 
 def tokens(text: str | Column) -> Column:
@@ -190,6 +193,65 @@ def _by_blocks(rows: DataFrame, queries: DataFrame, k: int, exclude_self: bool,
     return wanted.groupBy(*by, "qb", "rb").cogroup(held.groupBy(*by, "qb", "rb")).applyInPandas(best, out)
 
 
+def _nearest(vectors: pa.Array, centres: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest cells of each vector, nearest first."""
+    rows = _unit_rows(vectors.to_pylist())
+    return np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :n]
+
+
+class VectorIndex:
+    """Approximate cosine search: every row is in the cell of its nearest centre, and a query looks into its `probes` nearest cells.
+
+    Centres are fitted by k-means on about INDEX_SAMPLE rows, chosen by a hash of their ids; every row is indexed, and the index is a
+    table. Within the cells the search is exact, by vector_search, which also splits large cells into blocks.
+    """
+
+    def __init__(self, rows: DataFrame, cells: int | None = None, sample: int = INDEX_SAMPLE, rounds: int = 12, seed: int = 5) -> None:
+        held = rows.where("vector IS NOT NULL").select("doc_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+        total = held.count()
+        limit = min(1 << 30, -(-(1 << 30) * sample // max(1, total)))
+        few = held.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit).orderBy("doc_id").collect()  # about `sample` vectors
+        self.empty = not few
+        points = _unit_rows([r.vector for r in few]) if few else np.zeros((1, 1))
+        self.cells = max(1, min(cells or round(total**0.5), len(points)))
+        random = np.random.default_rng(seed)
+        centres = points[random.choice(len(points), self.cells, replace=False)]
+        for _ in range(rounds):
+            near = np.concatenate([(points[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(points), 4096)])
+            sums = np.zeros_like(centres)
+            np.add.at(sums, near, points)
+            full = np.bincount(near, minlength=self.cells) > 0
+            centres = np.where(full[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-300), centres)
+        self._centres = rows.sparkSession.sparkContext.broadcast(centres)
+        kind = dict(rows.dtypes)["doc_id"]
+        self.rows = materialize(self._celled(held, "doc_id", 1).select("doc_id", "vector", F.col("cells")[0].alias("cell")) if few else held.withColumn("cell", F.lit(0)).selectExpr(f"cast(doc_id as {kind}) doc_id", "vector", "cell"), "vector-index")
+
+    def _celled(self, rows: DataFrame, key: str, n: int) -> DataFrame:
+        shared = self._centres
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cells = pa.array(_nearest(b.column("vector"), shared.value, n).tolist(), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(key), b.column("vector"), cells], names=[key, "vector", "cells"])
+
+        return rows.select(key, "vector").mapInArrow(assign, f"{key} {dict(rows.dtypes)[key]}, vector array<double>, cells array<int>")
+
+    def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
+        """(query_id, doc_id, score, rank) of (query_id, vector)."""
+        if self.empty:
+            return vector_search(self.rows, queries, k)
+        asked = queries.where("vector IS NOT NULL").select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+        wide = self._celled(asked, "query_id", min(probes, self.cells)).select("query_id", "vector", F.explode("cells").alias("cell"))
+        return vector_search(self.rows, wide, k, part="cell")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(n, n_found, recall) of the exact hits that are among those found."""
+    both = exact.select("query_id", "doc_id").join(found.select("query_id", "doc_id").withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    return both.agg(F.count("*").alias("n"), F.count("hit").alias("n_found")).withColumn("recall", F.round(F.col("n_found") / F.col("n"), 6))
+
+
 def rrf(a: DataFrame, b: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists; ties by a's rank, b's rank, doc_id; a missing rank is last."""
     both = a.select("query_id", "doc_id", F.col("rank").alias("ra")).join(b.select("query_id", "doc_id", F.col("rank").alias("rb")), ["query_id", "doc_id"], "full_outer")

@@ -49,6 +49,7 @@ class State:
     filters: dict = field(default_factory=dict)
     permissions: set = field(default_factory=set)
     session_id: str = ""
+    run_id: str = ""
     question_neutral: str = ""
     last_answer: str = ""
     final_answer: str = ""
@@ -102,7 +103,9 @@ def action(*names: str) -> Callable[[Action], Action]:
 
 
 def run(pipeline: Pipeline, state: State, rt: Runtime, most_steps: int = 1000) -> State:
-    """From the entry step until `end` or a step without a next one."""
+    """From the entry step until `end` or a step without a next one. With a run id the run's Spark jobs are its job group, which a CancelRegistry ends."""
+    if state.run_id:
+        rt.spark.sparkContext.setJobGroup(state.run_id, pipeline.name, interruptOnCancel=True)
     at, n = pipeline.entry, 0
     state.question_neutral = state.question_neutral or state.question
     while at and at != END:
@@ -115,7 +118,11 @@ def run(pipeline: Pipeline, state: State, rt: Runtime, most_steps: int = 1000) -
             state.trace.append({"event_type": "CANCELLED", "step": at})
             raise Cancelled(at)
         step = pipeline.steps[at]
-        at = ACTIONS[step.action](step, state, rt, pipeline.settings) or step.next
+        goes = ACTIONS[step.action](step, state, rt, pipeline.settings) or step.next
+        if rt.cancelled():  # what a cancelled step has found goes nowhere
+            state.trace.append({"event_type": "CANCELLED", "step": at})
+            raise Cancelled(at)
+        at = goes
     state.trace.append({"event_type": "RUN_END", "step": None})
     return state
 

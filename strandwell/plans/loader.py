@@ -67,16 +67,25 @@ def parse(text: str) -> list[dict]:
 
 
 def load(sources: list[str | Path]) -> dict[str, dict]:
-    """Pipelines by name from files or texts; a name that comes twice is an error."""
+    """Pipelines by name from texts, files, or folders with all their YAML and JSON files; a name that comes twice is an error."""
     found: dict[str, dict] = {}
+    origin: dict[str, str] = {}
+    parts: list[tuple[str, str]] = []
     for s in sources:
-        for p in parse(Path(s).read_text() if isinstance(s, Path) else s):
+        if not isinstance(s, Path):
+            parts.append(("a text", s))
+        elif s.is_dir():
+            parts += [(str(f), f.read_text()) for f in sorted(s.rglob("*")) if f.suffix.lower() in (".yaml", ".yml", ".json") and f.is_file()]
+        else:
+            parts.append((str(s), s.read_text()))
+    for where, text in parts:
+        for p in parse(text):
             name = p.get("name") or p.get("YAMLpipeline", {}).get("name")
             if not name:
-                raise ValueError("a pipeline has no name")
+                raise ValueError(f"a pipeline of {where} has no name")
             if name in found:
-                raise ValueError(f"two pipelines are named {name}")
-            found[name] = p
+                raise ValueError(f"two pipelines are named {name}: in {origin[name]} and in {where}")
+            found[name], origin[name] = p, where
     return found
 
 

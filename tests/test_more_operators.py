@@ -125,6 +125,26 @@ def test_access_consistency(spark):
         snapshots.require_access_consistency(held, spark.createDataFrame([], runs))
 
 
+def test_pipelines_of_a_folder(tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.json").write_text(json.dumps({"name": "a", "steps": []}))
+    (tmp_path / "sub/b.yaml").write_text("name: b\nsteps: []\n")
+    (tmp_path / "note.txt").write_text("no pipeline")
+    assert sorted(loader.load([tmp_path])) == ["a", "b"]
+    with pytest.raises(ValueError, match="two pipelines are named a"):
+        loader.load([tmp_path, json.dumps({"name": "a", "steps": []})])
+
+
+def test_a_cancelled_step_goes_nowhere(spark):
+    calls = []
+    rt = engine.Runtime(spark, spark.range(0), cancelled=lambda: len(calls) > 0, model=lambda p: calls.append(p) or "answer")
+    p = loader.build({"name": "p", "settings": {}, "steps": [{"id": "m", "action": "call_model", "next": "f"}, {"id": "f", "action": "finalize", "next": "end"}]})
+    state = engine.State("q", run_id="run-1")
+    with pytest.raises(engine.Cancelled):
+        engine.run(p, state, rt)
+    assert len(calls) == 1 and not state.final_answer and state.trace[-1] == {"event_type": "CANCELLED", "step": "m"}
+
+
 def test_registries_and_key_values(spark):
     assert registries.query_parsers.get(None)("alpha")["query"] == "alpha" and "plain" in list(registries.prompt_builders)
     with pytest.raises(ValueError):
@@ -207,6 +227,21 @@ def test_vector_search_ways_agree(spark):
             assert a == b and len(a) == 15 * 7
 
 
+def test_index_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    vectors = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.4
+    docs = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in enumerate(vectors)] + [(9999, None)], "doc_id long, vector array<double>")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    index = ranking.VectorIndex(docs, sample=500)
+    assert index.rows.count() == 3000
+    found = ranking.recall(index.search(queries, 10), ranking.vector_search(docs, queries, 10)).first()
+    assert found.n == 1500 and found.recall >= 0.9
+    assert ranking.VectorIndex(docs.where("false")).search(queries, 3).count() == 0
+
+
 def test_latest_trace_and_logs(spark, tmp_path):
     events = spark.createDataFrame([("r1", "2025-01-01", "a"), ("r2", "2025-01-02", "b")], "run_id string, ts string, kind string")
     for _ in range(2):
