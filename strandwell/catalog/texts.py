@@ -47,6 +47,11 @@ SOURCE_SQL = (
     + "y AS (SELECT r, canonical_id, import_id, " + _BARE.format(f"regexp_extract(x, '^{NAME}', 1)") + r' AS "table", ' + r"regexp_extract(x, '(?i)\s(?:AS\s+)?([A-Za-z_]\w*)$', 1) AS a FROM w) "
     + f'SELECT canonical_id, import_id, "table", alias FROM (SELECT DISTINCT r, canonical_id, import_id, "table", CASE WHEN upper(a) IN ({KEYWORDS}) THEN \'\' ELSE a END AS alias FROM y)'
 )
+PARAM_SQL = (
+    f"WITH {CLEAN}, h AS (SELECT r, canonical_id, import_id, regexp_extract(t, " + rf"'(?is)\bCREATE\s+(?:OR\s+ALTER\s+)?PROC(?:EDURE)?\s+{NAME}(.*?)\bAS\s+BEGIN\b', 2) AS h FROM c), "
+    + r"p AS (SELECT canonical_id, import_id, unnest(regexp_extract_all(h, '(?:^|[\n,])\s*,?\s*(@\w+\s+[A-Za-z]\w*(?:\([0-9, ]+\)|\(MAX\))?)', 1)) AS p FROM h) "
+    + r"SELECT canonical_id, import_id, regexp_extract(p, '^@\w+') AS name, regexp_replace(regexp_replace(p, '^@\w+\s+', ''), '\s', '', 'g') AS type, NULL::VARCHAR AS default, false AS output FROM p"
+)
 FLAG_SQL = (
     f"WITH {CLEAN} SELECT upper(regexp_extract(t, " + r"'(?i)\bISOLATION\s+LEVEL\s+((?:READ\s+)?\w+)', 1)) AS isolation, regexp_matches(t, '(?i)\bNOLOCK\b') AS nolock, "
     + r"CASE WHEN regexp_matches(t, '(?i)\bOFFSET\b') AND regexp_matches(t, '(?i)\b(?:FETCH|ROWS)\b') THEN 'offset' WHEN regexp_matches(t, '(?i)\bTOP\b') THEN 'top' ELSE '' END AS pagination, count(*) AS n FROM c GROUP BY 1, 2, 3"
@@ -165,7 +170,7 @@ QUERIES = {
     "t05_confusion": (lambda s, d: _classes(s, d).groupBy(F.lower(F.regexp_replace("file_type", r"^\.", "")).alias("file_type"), "kind").agg(F.count("*").alias("n")), None),
     "t06_language": (lambda s, d: _classes(s, d).select("canonical_id", "import_id", ct.language_of("kind").alias("language")), None),
     "t07_summary": (lambda s, d: _summaries(s, d).select("canonical_id", "import_id", tsql.compact("s").alias("summary")), None),
-    "t08_params": (_exploded("params"), None), "t10_selects": (_exploded("selects"), None),
+    "t08_params": (_exploded("params"), PARAM_SQL), "t10_selects": (_exploded("selects"), None),
     "t13_columns": (_exploded("result_columns"), None), "t15_equals": (_exploded("equals"), None), "t16_flow": (_exploded("flow"), None), "t17_purpose": (_part("object", "purpose"), None),
     "t09_ctes": (_exploded("ctes"), CTE_SQL),
     "t11_writes": (_exploded("writes"), WRITE_SQL),

@@ -82,14 +82,17 @@ def header(ts: list[str]) -> tuple[str, list[dict], int, list[str]]:
             cur: list[str] = []
             strays: list[str] = []
             while j < len(ts) and not (up[j] == "AS" and depth <= 0 and not (cur and len(cur) == 1)):
-                if depth <= 0 and cur and (ts[j] == ";" or (up[j] in STARTERS and up[j] not in ("WITH", "EXEC", "EXECUTE"))):
+                if depth <= 0 and cur and (ts[j] == ";" or (up[j] in STARTERS and up[j] != "WITH" and not (up[j] in ("EXEC", "EXECUTE") and up[j + 1 : j + 2] == ["AS"]))):
                     # A statement that got into the list ends where the list goes on, or at its end.
-                    while j < len(ts) and not (depth <= 0 and ((ts[j] == "," and ts[j + 1 : j + 2] and ts[j + 1].startswith("@")) or (up[j] == "AS" and up[j + 1 : j + 2] == ["BEGIN"]))):
+                    while j < len(ts) and not (depth <= 0 and ((ts[j] == "," and re.match(r"@\w+ [A-Za-z\[]", " ".join(ts[j + 1 : j + 3]))) or (up[j] == "AS" and up[j + 1 : j + 2] == ["BEGIN"]))):
                         depth += (ts[j] == "(") - (ts[j] == ")")
                         strays.append(ts[j])
                         j += 1
                     strays.append(";")
                     continue
+                if ts[j].startswith("@") and depth <= 1 and len(cur) > 1 and cur[0].startswith("@") and cur[-1] != "=":  # a comma is missing
+                    params.append(cur)
+                    cur = []
                 if ts[j] == "," and depth <= (1 if ts[i + 1 :][0:1] == ["("] else 0):
                     params.append(cur)
                     cur = []
