@@ -30,6 +30,7 @@ from strandwell.records import trimmed, valid_rows
 
 BLOCK_LINES = 6  # lines on each side of a boundary that are compared
 TERM_BUCKETS = 64
+PART_LINES = 16_384  # lines whose terms are held at once
 LEAST_FILL = 0.5  # a piece is at least this part of the limit unless the text ends
 _TERM = re.compile(r"[A-Za-z]{2,}")
 _SOFT = re.compile(r"[\s,;:.(){}\[\]<>|&]+")
@@ -47,9 +48,21 @@ def _line_ends(text: str) -> list[int]:
 
 
 def boundary_depths(text: str, ends: list[int]) -> np.ndarray:
-    """How deep the similarity valley at each line end is; blank lines and lower indents deepen it a little."""
+    """How deep the similarity valley at each line end is; blank lines and lower indents deepen it a little.
+
+    A text of very many lines is measured part by part, each with the lines around it that its boundaries are compared with.
+    """
+    n, near = len(ends), 2 * BLOCK_LINES + 1
+    parts = []
+    for a in range(0, n, PART_LINES):
+        b = min(n, a + PART_LINES)
+        lo, hi = max(0, a - near), min(n, b + near)
+        parts.append(_depths(text, ends[lo - 1] if lo else 0, ends[lo:hi])[a - lo : b - lo])
+    return np.concatenate(parts)
+
+
+def _depths(text: str, begin: int, ends: list[int]) -> np.ndarray:
     n = len(ends)
-    begin = 0
     indent = np.zeros(n, np.float32)
     blank = np.zeros(n + 1, bool)
     known: dict[str, int] = {}
@@ -140,10 +153,11 @@ def clean_type(file_type: str | Column) -> Column:
 def oversized(nodes: DataFrame, limits: DataFrame) -> DataFrame:
     """(canonical_id, digest, text, max_chars, overlap_chars) of the rows that are too long for their file type."""
     own = limits.select(clean_type("file_type").alias("kind"), "max_chars", "overlap_chars").where(F.col("max_chars") >= 2)
-    rest = own.where(F.col("kind") == "*").select(F.col("max_chars").alias("any_max"), F.col("overlap_chars").alias("any_overlap")).limit(1)
+    rest = own.where(F.col("kind") == "*").agg(F.min(F.struct("max_chars", "overlap_chars")).alias("m")).select("m.*").first()  # a settings table
     rows = valid_rows(nodes).select("canonical_id", "text", clean_type("file_type").alias("kind"))
     limited = rows.join(own.where(F.col("kind") != "*").dropDuplicates(["kind"]), "kind", "left")
-    limited = limited.join(rest, F.lit(True), "left").withColumns({"max_chars": F.coalesce("max_chars", "any_max"), "overlap_chars": F.coalesce("overlap_chars", "any_overlap", F.lit(0))})
+    other = [F.lit(v).cast("int") for v in (rest.max_chars, rest.overlap_chars)]
+    limited = limited.withColumns({"max_chars": F.coalesce("max_chars", other[0]), "overlap_chars": F.coalesce("overlap_chars", other[1], F.lit(0))})
     return limited.where(F.length("text") > F.col("max_chars")).select("canonical_id", F.md5("text").alias("digest"), "text", "max_chars", "overlap_chars")
 
 
