@@ -162,7 +162,9 @@ def replayed(spark: SparkSession, path: str, part_rows: int = PART_ROWS, files_p
     reader = spark.readStream.schema(source.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    rows = keyed_rows(reader.parquet(path if "*" in path else path.rstrip("/") + "*"), hot, buckets)
+    # A stream takes folders and patterns; a pattern that only this name fits stands for a file too.
+    bare = path.rstrip("/")
+    rows = keyed_rows(reader.parquet(path if "*" in path else f"{bare[:-1]}[{bare[-1]}]"), hot, buckets)
     closing = new_path(spark, "closing")
     end = F.timestamp_millis(F.lit(hi + 2 * (span + gap) + 1))
     last = spark.range(1).select(*[(end if c == "event" else F.lit("closing") if c == "session_id" else F.lit(0) if t in ("int", "bigint") else F.lit(None)).cast(t).alias(c) for c, t in rows.dtypes])

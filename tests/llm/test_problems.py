@@ -107,6 +107,15 @@ def test_pieces_round_trip_and_limits():
         assert "".join(text[(spans[i - 1][1] if i else 0) : e] for i, (_, e) in enumerate(spans)) == text
 
 
+def test_depths_are_the_same_in_parts(monkeypatch):
+    rng = random.Random(66)
+    text = "".join(rng.choice(["alpha beta\n", "  gamma();\n", "\n", "delta = alpha;\n", "}\n"]) for _ in range(200)) + "end"
+    ends = splitting._line_ends(text)
+    whole = splitting.boundary_depths(text, ends)
+    monkeypatch.setattr(splitting, "PART_LINES", 17)
+    assert np.allclose(splitting.boundary_depths(text, ends), whole, atol=1e-4) and len(whole) == 201
+
+
 def test_oversized_kinds_and_edges(spark):
     limits = spark.createDataFrame([("cs", 20, 2), ("*", 10, 0)], "file_type string, max_chars int, overlap_chars int")
     rows = [("r::s::cs::a", "ab\n" * 9, ".CS"), ("r::s::cs::a", "ab\n" * 9, "cs"), ("r::s::cs::b", "x" * 21 + "\r\n", "cs"), ("r::s::cs::c", "x" * 20, "cs"), ("r::s::cs::d", "12345\n78901", None), ("r::s::cs::e", None, "cs"), ("bad", "x" * 99, "cs")]
