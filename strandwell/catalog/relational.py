@@ -202,6 +202,10 @@ QUERIES = {
     ),
     "h08_set_members": (lambda s, d: sn.set_members(read(s, d, "snapshot_set")), "SELECT DISTINCT snapshot_set_id, unnest(allowed_snapshot_ids) AS snapshot_id FROM snapshot_set WHERE is_active"),
     "x19_set_id": (lambda s, d: read(s, d, "documents").select("doc_id", sn.set_id_of("title").alias("set_id")), r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(title, '[^A-Za-z0-9_.-]+', '-', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g') AS set_id FROM documents"),
+    "x26_nested_path": (
+        lambda s, d: read(s, d, "events").select("event_id", F.array_join(F.array_sort(sec.claim_values(F.concat(F.lit('{"a":{"x":{"p":{"v":"'), "event_type", F.lit('"},"q":{"w":1}},"y":{"r":{"v":"'), F.col("user_id").cast("string"), F.lit('"}}},"b":{"v":"no"}}')), "a.*.*.v")), ",").alias("out")),
+        "SELECT event_id, CASE WHEN CAST(user_id AS VARCHAR) < event_type THEN user_id || ',' || event_type ELSE event_type || ',' || user_id END AS out FROM events",
+    ),
     "x26_claim_path": (lambda s, d: read(s, d, "import_run").where("stats_json <> ''").select("import_id", F.array_join(F.array_sort(sec.claim_values("stats_json", "*.raw")), ",").alias("raw")).distinct(), "SELECT DISTINCT import_id, list_aggregate(list_sort(stats_json->>'$.*.raw'), 'string_agg', ',') AS raw FROM import_run WHERE stats_json <> ''"),
     "sk09_sessions": (lambda s, d: h.new_sessions(s.createDataFrame([], SESSION_ROW), _messages(s, d)).select("session_id", "identity_id", "title", "created_at", "updated_at"), f"WITH {MESSAGE_SQL} {_MADE_SQL}"),
     "h03_patched": (

@@ -12,7 +12,7 @@ from strandwell.streaming import trace as t
 
 
 def _stream(s, d):
-    return s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
 def _ran(df, mode="append", fmt="parquet"):

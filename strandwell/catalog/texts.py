@@ -128,6 +128,10 @@ QUERIES = {
     "x05_tidy_space": (_node(lambda: F.md5(x.tidy_space("text")), where="text IS NOT NULL"), r"SELECT canonical_id, import_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS out FROM rag_node WHERE text IS NOT NULL"),
     "x06_plain_ident": (_node(lambda: x.plain_ident(F.concat(F.lit("["), F.col("sql_schema"), F.lit("]."), F.col("sql_name"))), where="sql_name <> ''"), "SELECT canonical_id, import_id, sql_schema || '.' || sql_name AS out FROM rag_node WHERE sql_name <> ''"),
     "x07_bracketed": (_node(lambda: x.bracketed_ident(F.concat_ws(".", "sql_schema", "sql_name")), where="sql_name <> ''"), "SELECT canonical_id, import_id, '[' || sql_schema || '].[' || sql_name || ']' AS out FROM rag_node WHERE sql_name <> ''"),
+    "x07_bracketed_pair": (
+        _node(lambda: x.bracketed_pair(F.concat(F.lit(" ["), F.col("sql_schema"), F.lit("]."), F.col("sql_name"), F.lit(" AS a,"))), where="sql_name <> ''"),
+        r"SELECT canonical_id, import_id, CASE WHEN regexp_matches(sql_name, '^[A-Za-z0-9_]+$') THEN '[' || sql_schema || '].[' || sql_name || ']' ELSE '[' || sql_schema || '].' || sql_name END AS out FROM rag_node WHERE sql_name <> ''",
+    ),
     "x08_hints": (lambda s, d: _sql_texts(s, d).select("canonical_id", "import_id", F.md5(x.clean_preview(x.without_hints("text"))).alias("out")), None),
     "x09_fence": (_doc(lambda: F.md5(x.without_fence("text"))), r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(trim(text, ' '), '^```[A-Za-z0-9_+-]*\s*', ''), '\s*```$', ''), '^ +| +$', '', 'g')) AS out FROM documents"),
     "x10_lenient_json": (lambda s, d: read(s, d, "events").select("event_id", mk.apply(mk.lenient_json, F.regexp_replace("props", "\"", "")).alias("out")), "SELECT event_id, '{\"k\":' || CAST(CAST(props->>'$.k' AS BIGINT) AS VARCHAR) || '}' AS out FROM events"),
@@ -148,6 +152,7 @@ QUERIES = {
     "x22_epoch_ms": (lambda s, d: read(s, d, "import_run").select("import_id", "snapshot_id", x.epoch_millis("finished_utc").alias("out")), "SELECT import_id, snapshot_id, epoch_ms(TRY_CAST(nullif(finished_utc, '') AS TIMESTAMPTZ)) AS out FROM import_run"),
     "x23_iso": (lambda s, d: read(s, d, "events").select("event_id", x.iso_seconds("ts").alias("out")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS out FROM events"),
     "x24_json": (lambda s, d: read(s, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("out")), "SELECT event_id, '{\"event_type\":\"' || event_type || '\",\"user_id\":' || user_id || '}' AS out FROM events"),
+    "x24_sorted_json": (lambda s, d: read(s, d, "events").select("event_id", x.sorted_json({"z": F.col("event_type"), "a": F.col("user_id"), "k": F.when(F.col("user_id") % 2 == 0, F.col("event_id"))}).alias("out")), "SELECT event_id, '{\"a\":' || user_id || CASE WHEN user_id % 2 = 0 THEN ',\"k\":' || event_id ELSE '' END || ',\"z\":\"' || event_type || '\"}' AS out FROM events"),
     "x27_split_lines": (_doc(lambda: F.size(x.split_lines("text"))), r"SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len([l FOR l IN regexp_split_to_array(text, '\r?\n') IF regexp_replace(l, '^ +| +$', '', 'g') <> '']) END AS INTEGER) AS out FROM documents"),
     "x28_to_bool": (lambda s, d: read(s, d, "snapshot_set").select("snapshot_set_id", x.to_bool(F.col("is_active").cast("string")).alias("out")), "SELECT snapshot_set_id, coalesce(is_active, false) AS out FROM snapshot_set"),
     "x29_human_size": (_doc(lambda: x.human_size(F.col("n_chars") * 1000)), "SELECT doc_id, CASE WHEN n_chars * 1000 < 1024 THEN printf('%.1f B', n_chars * 1000.0::DOUBLE) WHEN n_chars * 1000 < 1048576 THEN printf('%.1f KB', n_chars * 1000 / 1024.0::DOUBLE) ELSE printf('%.1f MB', n_chars * 1000 / 1048576.0::DOUBLE) END AS out FROM documents"),

@@ -59,6 +59,20 @@ def bracketed_ident(x: str | Column) -> Column:
     return F.array_join(parts, ".")
 
 
+def bracketed_pair(x: str | Column) -> Column:
+    """[schema].[object] of the first word, with or without brackets and a comma or semicolon after it; other text as it is, null as empty."""
+    first = F.regexp_extract(F.regexp_replace(F.trim(_c(x)), "[,;]+$", ""), r"^(\S+)", 1)
+    part = r"(?:\[([^\[\]]+)\]|([A-Za-z0-9_]+))"
+    pick = lambda a, b: F.coalesce(F.nullif(F.regexp_extract(first, rf"^{part}\.{part}$", a), F.lit("")), F.regexp_extract(first, rf"^{part}\.{part}$", b))
+    pair = F.concat(F.lit("["), pick(1, 2), F.lit("].["), pick(3, 4), F.lit("]"))
+    return F.when(_c(x).isNull(), "").when(first.rlike(rf"^{part}\.{part}$"), pair).otherwise(first)
+
+
+def sorted_json(fields: dict[str, Column]) -> Column:
+    """Compact JSON with its keys in order; null fields are left out."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
+
+
 def without_hints(x: str | Column) -> Column:
     return F.regexp_replace(_c(x), r"(?i)\bWITH\s*\((?:[^()]|\([^()]*\))*\)", "")
 

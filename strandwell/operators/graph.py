@@ -39,6 +39,13 @@ def malformed_edges(edges: DataFrame) -> DataFrame:
     )
 
 
+def require_clean_edges(edges: DataFrame) -> None:
+    """Raises ValueError where edges lack an end; for imports that must be whole."""
+    found = malformed_edges(edges).first()
+    if found.n_malformed:
+        raise ValueError(f"{found.n_malformed} of {found.n_edges} edges lack an end")
+
+
 def type_allowed(allowlist: Iterable[str] | None) -> Column:
     """Regardless of case, with or without the sql_ or cs_ prefix; an empty list or `*` allows all."""
     names = [n.lower() for n in strings(allowlist)]

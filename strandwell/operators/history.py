@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page(rows: DataFrame, time: str, key: str, limit: int, after: tuple[object, object] | None = None, q: str | None = None, title: str = "title") -> DataFrame:
-    """Newest first, 1 to 200 rows after the cursor (time, id); the cursor of the next page is the last row if it is full."""
+def page(rows: DataFrame, time: str, key: str, limit: int, after: tuple[object, object] | None = None, q: str | None = None, title: str = "title", restart: bool = False) -> DataFrame:
+    """Newest first, 1 to 200 rows after the cursor (time, id); the cursor of the next page is the last row if it is full.
+
+    A cursor whose row is gone goes on from its place; with restart it begins anew.
+    """
     limit = max(1, min(200, limit))
     if q:
         rows = rows.where(F.lower(title).contains(q.lower()))
+    if after and restart and rows.where((F.col(time) == F.lit(after[0])) & (F.col(key) == F.lit(after[1]))).isEmpty():
+        after = None
     if after:
         t, k = (F.lit(v) for v in after)
         rows = rows.where((F.col(time) < t) | ((F.col(time) == t) & (F.col(key) < k)))

@@ -52,12 +52,19 @@ def normalized_claim(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"^/+|/+$", "")
 
 
-def groups_of_claims(claims: DataFrame, groups: DataFrame) -> DataFrame:
-    """(user_id, group_name): each claim's group by exact name, else by normalized name."""
+def groups_of_claims(claims: DataFrame, groups: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(user_id, group_name): each claim's group by exact name, else by normalized name, else by an alias (alias, group_name) of the
+    claim or of one of its words."""
     exact = claims.join(groups.select("group_name"), F.col("claim") == F.col("group_name")).select("user_id", "claim", "group_name")
     rest = claims.join(exact.select("user_id", "claim"), ["user_id", "claim"], "left_anti").withColumn("k", normalized_claim("claim"))
     loose = rest.join(groups.groupBy(normalized_claim("group_name").alias("k")).agg(F.min("group_name").alias("group_name")), "k").select("user_id", "claim", "group_name")
-    return exact.unionByName(loose).select("user_id", "group_name").distinct()
+    found = exact.unionByName(loose)
+    if aliases is not None:
+        left = claims.join(found.select("user_id", "claim"), ["user_id", "claim"], "left_anti")
+        known = aliases.select(normalized_claim("alias").alias("k"), "group_name").where("k <> ''").distinct()
+        words = F.array_union(F.array(normalized_claim("claim")), F.transform(F.split("claim", r"[\s,;/]+"), lambda w: F.regexp_replace(F.lower(F.trim(w)), r"^/+|/+$", "")))
+        found = found.unionByName(left.withColumn("k", F.explode(words)).join(known, "k").select("user_id", "claim", "group_name"))
+    return found.select("user_id", "group_name").distinct()
 
 
 def with_entries(heads: DataFrame, entries: DataFrame, key: str, name: str, value: str) -> DataFrame:
@@ -67,14 +74,20 @@ def with_entries(heads: DataFrame, entries: DataFrame, key: str, name: str, valu
 
 
 def claim_values(claims_json: str | Column, path: str) -> Column:
-    """All values at a dotted path of JSON text, `*` fanning out over an object's values; null if there is none."""
+    """All values at a dotted path of JSON text, each `*` fanning out over an object's values; null if there is no text."""
     c = F.col(claims_json) if isinstance(claims_json, str) else claims_json
-    if "*" not in path:
-        return F.array_compact(F.array(F.get_json_object(c, "$." + path)))
-    head, _, tail = path.partition("*")
-    inner = F.from_json(F.get_json_object(c, "$." + head.strip(".")) if head.strip(".") else c, "map<string,string>")
-    tail = tail.strip(".")
-    return F.array_compact(F.transform(F.map_values(inner), lambda v: F.get_json_object(v, "$." + tail) if tail else v))
+    found = F.when(c.isNotNull(), F.array(c))
+
+    def field(name: str):
+        return lambda v: F.get_json_object(v, f"$['{name}']")
+
+    for part in [p for p in path.split(".") if p]:
+        if part == "*":
+            found = F.flatten(F.transform(found, lambda v: F.coalesce(F.map_values(F.from_json(v, "map<string,string>")), F.array().cast("array<string>"))))
+        else:
+            found = F.transform(found, field(part))
+        found = F.array_compact(found)
+    return found
 
 
 def valid_at(versions: DataFrame, keys: list[str], moment: object) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from strandwell.functions import markup
-from strandwell.operators import compression, context, evaluation, filters, history, nodes, ranking, security, snapshots
+from strandwell.operators import compression, context, evaluation, filters, graph, history, nodes, ranking, security, snapshots
 from strandwell.plans import engine, loader, registries, requests, settings
 from strandwell.sources import policies, tables
 from strandwell.streaming import control, trace
@@ -250,6 +250,23 @@ def test_latest_trace_and_logs(spark, tmp_path):
     assert [r.kind for r in tables.latest_trace(spark, str(tmp_path / "t")).collect()] == ["b"]
 
 
+def test_claims_pages_and_edges(spark):
+    claims = spark.createDataFrame([("u1", "Dev"), ("u2", "/dev/"), ("u3", "role: boss,ops"), ("u4", "none"), ("u5", None)], "user_id string, claim string")
+    groups = spark.createDataFrame([("Dev",), ("Ops",)], "group_name string")
+    aliases = spark.createDataFrame([("Boss", "Dev"), (" ", "Ops")], "alias string, group_name string")
+    assert sorted(tuple(r) for r in security.groups_of_claims(claims, groups, aliases).collect()) == [("u1", "Dev"), ("u2", "Dev"), ("u3", "Dev")]
+    row = spark.createDataFrame([('{"a":{"b":"1"}}',), ("no json",), (None,)], "j string")
+    assert [r.v for r in row.select(security.claim_values("j", "*.b").alias("v")).collect()] == [["1"], [], None]
+    rows = spark.createDataFrame([(n, f"k{n}", "t") for n in range(5)], "at int, id string, title string")
+    assert [r.at for r in history.page(rows, "at", "id", 2, (3, "a")).collect()] == [2, 1]
+    assert [r.at for r in history.page(rows, "at", "id", 2, (9, "gone"), restart=True).collect()] == [4, 3]
+    assert [r.at for r in history.page(rows, "at", "id", 2, (3, "k3"), restart=True).collect()] == [2, 1]
+    edges = spark.createDataFrame([("a", "b", "x"), ("a", " ", "x")], "from_canonical_id string, to_canonical_id string, edge_type string")
+    graph.require_clean_edges(edges.limit(1).where("to_canonical_id = 'b'"))
+    with pytest.raises(ValueError):
+        graph.require_clean_edges(edges)
+
+
 def test_small_rules(spark):
     assert context.compaction_rule([{"language": "sql", "n": 1}, {"n": 2}], "cs") == {"n": 2} and context.compaction_rule([], "cs") is None
     with pytest.raises(ValueError):
