@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwell.operators.keyword import bm25_hits
 from strandwell.session import materialize
 
 K1, B = 1.2, 0.75
@@ -52,22 +53,21 @@ def bm25_statistics(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, operator: str = "or", keep: Column | None = None, columns: tuple[str, ...] = ("text",), part: str | None = None) -> DataFrame:
     """Okapi BM25 of (query_id, query) over docs; statistics over all docs, keep filters what may be returned.
 
-    operator "and" asks for every query term. Only postings of query terms are kept before anything is shuffled. With part, a
-    column of docs and queries, each part is a corpus of its own with statistics of its own, all in one plan.
+    operator "and" asks for every query term. No pair of query and document is shuffled, see keyword.py. With part, a column of
+    docs and queries, each part is a corpus of its own with statistics of its own, all in one plan of joins.
     """
-    by = [part] if part else []
-    terms = queries.select("query_id", *by, F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    words = docs.select("doc_id", *by, (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("kept"), tokens(F.concat_ws(" ", *columns)).alias("w")).withColumn("dl", F.size("w").cast("long"))
-    stats = words.where("dl > 0").groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    each = words.select("doc_id", *by, "kept", "dl", F.explode("w").alias("term")).join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
-    posts = each.groupBy("doc_id", *by, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("kept").alias("kept"))
-    df = posts.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    found = terms.join(posts.where("kept"), [*by, "term"]).join(df, [*by, "term"])
-    if part:
-        found, n, avg = found.join(stats, part), F.col("n"), F.col("avg_dl")
-    else:
-        one = stats.first()
-        n, avg = F.lit(float(one.n)), F.lit(float(one.avg_dl or 1.0))
+    words = docs.select("doc_id", *([part] if part else []), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("kept"), tokens(F.concat_ws(" ", *columns)).alias("w"))
+    if not part:
+        return top_k(bm25_hits(words, queries.select("query_id", "query", tokens("query").alias("w")), k, operator == "and", K1, B), k)
+    terms = queries.select("query_id", part, F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    words = words.withColumn("dl", F.size("w").cast("long"))
+    stats = words.where("dl > 0").groupBy(part).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
+    # Only postings of query terms are kept before anything is shuffled.
+    each = words.select("doc_id", part, "kept", "dl", F.explode("w").alias("term")).join(terms.select(part, "term").distinct(), [part, "term"], "left_semi")
+    posts = each.groupBy("doc_id", part, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("kept").alias("kept"))
+    df = posts.groupBy(part, "term").agg(F.count("*").alias("df"))
+    found = terms.join(posts.where("kept"), [part, "term"]).join(df, [part, "term"]).join(stats, part)
+    n, avg = F.col("n"), F.col("avg_dl")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avg))
     hits = found.groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"), F.count("*").alias("matched"))
