@@ -88,7 +88,7 @@ def test_searches_ask_with_whole_documents(spark, folder):
 
 
 #: Keyword searches of whole documents that shuffle no pairs of query and document.
-UNPAIRED = ["r01_bm25_and_whole", "r01_bm25_or_whole", "r01_bm25_filtered_whole", "r04_rrf_whole", "r05_dispatch_bm25_whole"]
+UNPAIRED = ["r01_bm25_and_whole", "r01_bm25_or_whole", "r01_bm25_filtered_whole", "r03_weighted_whole", "r04_rrf_whole", "r05_dispatch_bm25_whole"]
 
 
 @pytest.mark.parametrize("name", UNPAIRED)
