@@ -1,3 +1,5 @@
+import collections
+import functools
 import itertools
 import random
 import re
@@ -263,6 +265,39 @@ def test_kinds_of_files(spark):
     assert source_files.not_hand_written(nodes(spark, [])).count() == 0
 
 
+def test_shared_rules_are_those_of_one_grammar_of_the_corpus(spark):
+    texts = [f"/*! {name} v{v} | (c) the {name} contributors | MIT licensed */" for name, v in (("Quux", "1.2.3"), ("Quux", "20.0.1"), ("Zorb", "1.0.0"))]
+    texts += [f"// since 1.{n}.0 {'=' * n} {mark}" for n, mark in ((40, "x"), (33, "y"))] + ["// one of its kind, 3.2.1", "no comment 1.2.3"]
+    times = collections.Counter(tuple(q) for t in texts for q in source_files.package_notices(source_files.comment_blocks(t)))
+    rows = list(enumerate(times.items()))
+    assert sorted(times.values()) == [1, 1, 1, 1, 2]  # numbers are alike
+
+    def stands_for(tokens):
+        return functools.reduce(lambda h, t: (h * int(source_files._BASE) + t) % 2**64, tokens, 0)
+
+    # Every run of RULE_TOKENS tokens or more: where it is, and how often. A rule is such a run and comes twice at least.
+    runs = {i: collections.Counter(stands_for(q[a:b]) for a in range(len(q)) for b in range(a + source_files.RULE_TOKENS, len(q) + 1)) for i, (q, _) in rows}
+    often = sum((collections.Counter({h: k * n for h, k in runs[i].items()}) for i, (_, n) in rows), collections.Counter())
+    for parts in (1, 3):
+        table = spark.createDataFrame([(i, list(q), n) for i, (q, n) in rows], "sequence long, symbols array<long>, n long").repartition(parts)
+        used = {(r.sequence, r.rule % 2**64) for r in source_files.corpus_rules(table).collect()}
+        assert all(h in runs[i] and often[h] > 1 for i, h in used)
+        by = {i: {h for j, h in used if i == j} for i, _ in rows}
+        quux, zorb, long, short, single = (i for i, _ in rows)
+        assert stands_for(rows[quux][1][0]) in by[quux] and stands_for(rows[zorb][1][0]) not in by[zorb]  # a notice that comes twice is one rule
+        assert by[quux] & by[zorb] and by[long] & by[short] and not by[single]
+    assert source_files.corpus_rules(table.where("false")).count() == 0
+
+
+def test_files_with_rules_that_repositories_share(spark):
+    body = "\nint a = 1;\nint b = a + 2;"
+    rows = [
+        ("r1::s::cs::a", "/*! Quux grid v3.1.4, built from the sources of the quux grid */" + body, "cs", "src/a.cs"), ("r2::s::cs::b", "/*! Quux grid v3.20.0, built from the sources of the quux grid */" + body * 2, "cs", "src/b.cs"),
+        ("r3::s::cs::c", "// Since v1.2.3 the nightly report counts the late invoices too." + body, "cs", "src/c.cs"), ("r3::s::cs::d", "// Since v1.2.4 the nightly report counts the late invoices too." + body, "cs", "src/d.cs"),
+    ]
+    assert {(r.canonical_id, r.kind) for r in source_files.not_hand_written(nodes(spark, rows)).collect()} == {("r1::s::cs::a", "vendored"), ("r2::s::cs::b", "vendored")}
+
+
 # Problems 2 and 10
 
 DOC = "doc_id long, text string, lang string, source string"
